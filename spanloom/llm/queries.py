@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, matroska, secrets, warc
+from spanloom.llm import bpe, chat, matroska, packing, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,21 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def tokenizer(name: str) -> str:
+    """Where a vocabulary file of the public tokenizers is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.round_trip(table(spark, sf_dir, "documents"))
 
@@ -33,7 +48,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {"op1_warc": op1_warc, "op7_matroska": op7_matroska, "op8_chat": op8_chat, "op9_secrets": op9_secrets}
+LLM_QUERIES = {"op1_warc": op1_warc, "op3_packing": op3_packing, "op6_bpe": op6_bpe, "op7_matroska": op7_matroska, "op8_chat": op8_chat, "op9_secrets": op9_secrets}
 
 LLM_ORACLE = {
     "op1_warc": """
