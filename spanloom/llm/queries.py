@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, chat, matroska, packing, secrets, warc
+from spanloom.llm import bpe, chat, langid, matroska, packing, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -48,7 +52,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {"op1_warc": op1_warc, "op3_packing": op3_packing, "op6_bpe": op6_bpe, "op7_matroska": op7_matroska, "op8_chat": op8_chat, "op9_secrets": op9_secrets}
+LLM_QUERIES = {"op1_warc": op1_warc, "op2_langid": op2_langid, "op3_packing": op3_packing, "op6_bpe": op6_bpe, "op7_matroska": op7_matroska, "op8_chat": op8_chat, "op9_secrets": op9_secrets}
 
 LLM_ORACLE = {
     "op1_warc": """
