@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import text_of
-from spanloom.llm.memo import Memo
+from spanloom.llm.memo import Memo, byte_letters, merged
 
 #: The pattern of the tokenizer's pre-tokenizer (a fixed value), and the same for plain ASCII.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -74,7 +74,7 @@ class Encoder:
         self.library.no_padding()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words = Memo(lambda new: [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(new, add_special_tokens=False)], 300_000)
+        self.words = Memo(merged(self.library.model), 500_000)
         self.chunks: dict[str, tuple] = {}
         size = self.library.get_vocab_size(with_added_tokens=True)
         plain = {c: b for b, c in byte_letters().items()}
@@ -166,13 +166,6 @@ class Encoder:
         return b"".join(map(self.digits.__getitem__, ids))[:-1]
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter by which byte-level vocabularies show each byte: printable ones stand for themselves."""
-    shown = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
-    rest = (b for b in range(256) if b not in shown)
-    return shown | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 

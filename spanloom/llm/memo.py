@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+
 
 class Memo(dict):
     """str -> bytes for at most `most` entries; a miss in a list is filled for all at once.
@@ -32,3 +34,22 @@ class Memo(dict):
             self.clear()
             new = list(dict.fromkeys(pieces))
         self.update(zip(new, self.fill(new), strict=True))
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies show each byte: printable ones stand for themselves."""
+    shown = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    rest = (b for b in range(256) if b not in shown)
+    return shown | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = str.maketrans(byte_letters())
+
+
+def merged(model) -> Callable[[list[str]], list[bytes]]:
+    """Ids, as little-endian 32-bit numbers, of single pre-tokens, by the library's merges alone."""
+
+    def fill(words: list[str]) -> list[bytes]:
+        return [np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(LETTERS))], "<u4").tobytes() for w in words]
+
+    return fill

@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.llm.common import text_of, written
-from spanloom.llm.memo import Memo
+from spanloom.llm.memo import Memo, merged
 
 CAPACITY = 4096
 SEPARATOR = 1
 #: Pieces of one length that are ranked together.
-RANKED = 20_000
+RANKED = 2_000
 #: Bounds of the search beyond the best-fit solution: lengths looked at over all nodes, fillings tried at a node, pieces in a filling.
 LENGTHS, FILLINGS, DEEP = 200_000, 24, 4
 
@@ -211,30 +211,74 @@ def places(patterns: dict[Pattern, int]) -> dict[str, np.ndarray]:
     return {c: np.array([r[i] for r in rows], np.int64) for i, c in enumerate(("length", "rank", "sequence", "each", "offset"))}
 
 
-_ENCODERS: dict[str, Memo] = {}
+class WordIds:
+    """Ids of whole texts under a vocabulary that folds case and drops white space.
 
-
-def word_ids(path: str) -> Memo:
-    """Ids, as little-endian 32-bit numbers, of what stands between blanks; one memo a worker.
-
-    This tokenizer drops white space before it merges anything, so the ids of a text are those
-    of its parts between blanks and line ends.
+    White space separates before anything is merged, so the ids of a text are those of its
+    parts between blanks and line ends, which a memo keeps. A part of Latin letters alone, or
+    followed by a full stop or comma, takes its ids from the merges of its folded letters;
+    any other part goes through the library as it is.
     """
-    if path not in _ENCODERS:
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _ENCODERS[path] = Memo(lambda new: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)])
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.letters = Memo(merged(self.library.model), 600_000)
+        self.parts = Memo(self.learn, 300_000)
+        self.marks = {m: self.encode([m])[0] for m in ".,"} | {"": b""}
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(parts, add_special_tokens=False)]
+
+    def learn(self, parts: list[str]) -> list[bytes]:
+        cores, tails, odd = [], [], []
+        for p in parts:
+            mark = p[-1:] if p[-1:] in (".", ",") else ""
+            core = p[: len(p) - len(mark)]
+            if latin(core):
+                core = core.lower()
+                cores.append(core)
+                tails.append(mark)
+            else:
+                cores.append(None)
+                tails.append("")
+                odd.append(p)
+        self.letters.learn([c for c in cores if c is not None])
+        rest = iter(self.encode(odd) if odd else [])
+        return [next(rest) if c is None else self.letters[c] + self.marks[t] for c, t in zip(cores, tails, strict=True)]
+
+    def ids(self, text: str) -> bytes:
+        if text.isascii():
+            text = text.lower()
+        return self.parts.join(text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" "))
+
+
+#: Letters of the Latin blocks that fold to one letter each: all but the dotted I.
+_LATIN = {i for i in range(0x41, 0x250) if chr(i).isalpha() and i != 0x130}
+
+
+def latin(core: str) -> bool:
+    """Whether core is Latin letters only, so that it is one pre-token whatever its case."""
+    return core.isalpha() and (core.isascii() or _LATIN.issuperset(map(ord, core)))
+
+
+_ENCODERS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One encoder a worker and vocabulary."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordIds(path)
     return _ENCODERS[path]
 
 
-def pieces_of(text: str, memo: Memo, capacity: int) -> Iterator[tuple[int, int, int, int]]:
+def pieces_of(text: str, tool: WordIds, capacity: int) -> Iterator[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document: its ids and the separator, cut only if too long."""
-    words = text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
-    ids = memo.join(words) + SEPARATOR.to_bytes(4, "little")
+    ids = tool.ids(text) + SEPARATOR.to_bytes(4, "little")
     n = len(ids) // 4
     for piece, start in enumerate(range(0, n, capacity)):
         part = ids[start * 4 : (start + capacity) * 4]
@@ -245,9 +289,9 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
     """doc_id, piece, start, length, ids_crc32 of every whole document. No shuffle."""
 
     def cut(batches):
-        memo = word_ids(tokenizer)
+        tool = word_ids(tokenizer)
         for batch in batches:
-            rows = [(doc, *p) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in pieces_of(text, memo, capacity)]
+            rows = [(doc, *p) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in pieces_of(text, tool, capacity)]
             kinds = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, chat, dedup, langid, matroska, packing, secrets, warc
+from spanloom.llm import bpe, chat, dedup, langid, matroska, packing, secrets, syncmers, warc
 from spanloom.plans.session import ship
 
 
@@ -32,6 +32,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compared(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {"op1_warc": op1_warc, "op2_langid": op2_langid, "op3_packing": op3_packing, "op5_minhash": op5_minhash, "op6_bpe": op6_bpe, "op7_matroska": op7_matroska, "op8_chat": op8_chat, "op9_secrets": op9_secrets}
+LLM_QUERIES = {"op1_warc": op1_warc, "op2_langid": op2_langid, "op3_packing": op3_packing, "op4_syncmers": op4_syncmers, "op5_minhash": op5_minhash, "op6_bpe": op6_bpe, "op7_matroska": op7_matroska, "op8_chat": op8_chat, "op9_secrets": op9_secrets}
 
 LLM_ORACLE = {
     "op1_warc": """
