@@ -1,8 +1,9 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A k-mer of code points is chosen when the smallest of its inner s-mers, by hash, is its first
-or its last one. Whether it is chosen depends on its own K code points alone, so texts that
-share a passage share its anchors wherever it stands. A fingerprint keeps, for each of
+A k-mer of UTF-8 bytes is chosen when the smallest of its inner s-mers, by hash, is its first
+or its last one. Whether it is chosen depends on its own K bytes alone, so texts that share a
+passage share its anchors wherever it stands. Bytes, unlike code points, are found at a place
+without walking there. A fingerprint keeps, for each of
 REGISTERS classes of k-mers, the smallest hash of the chosen ones.
 """
 
@@ -15,8 +16,8 @@ from pyspark.sql.window import Window
 from spanloom.llm.common import text_of
 
 K, S = 12, 8
-#: Texts are cut into blocks of so many code points, each with the K - 1 that follow.
-STRIDE = 64
+#: Texts are cut into blocks of so many bytes, each with the K - 1 that follow.
+STRIDE = 4096
 #: Registers of a fingerprint, bits of each, and registers in one number.
 REGISTERS, BITS, LANES = 128, 12, 4
 NUMBERS = REGISTERS // LANES
@@ -24,28 +25,26 @@ NUMBERS = REGISTERS // LANES
 RANGE, RANGES = 256, 65_536
 
 
-def blocks(text: Column) -> Column:
-    """Overlapping pieces of text in which each k-mer stands once."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{STRIDE + K - 1}}})).{{1,{STRIDE}}}"), F.lit(1))
-
-
 def anchors(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """rows' columns `keep` and a hash for each closed syncmer of the column text, with its place (from 0).
 
-    A text of K to 2K code points gives one more row, of its whole, since it may hold no
-    syncmer; so does a shorter text that isn't empty.
+    Places count bytes. A text of at most 2K bytes that isn't empty gives one more row, of its
+    whole, since it may hold no syncmer.
     """
-    cut = rows.select(*keep, F.length(text).alias("_n"), F.posexplode(blocks(F.col(text))).alias("_block", "_piece"))
-    none = F.array().cast("array<int>")
-    inner = F.when(F.length("_piece") >= K, F.sequence(F.lit(1), F.least(F.lit(STRIDE), F.length("_piece") - (K - 1)))).otherwise(none)
-    places = F.when(F.col("_n") <= 2 * K, F.concat(inner, F.array(F.lit(0)))).otherwise(inner)
-    at = cut.select(*keep, "_block", "_piece", F.explode(places).alias("_at"))
-    kmer = F.when(F.col("_at") == 0, F.col("_piece")).otherwise(F.col("_piece").substr(F.col("_at"), F.lit(K)))
-    kmers = at.select(*keep, (F.col("_block") * STRIDE + F.greatest(F.col("_at") - 1, F.lit(0))).alias("place"), "_at", kmer.alias("_kmer"))
-    kmers = kmers.select(*keep, "place", "_at", "_kmer", *[F.xxhash64(F.substring("_kmer", i + 1, S)).alias(f"_h{i}") for i in range(K - S + 1)])
-    least = F.least(*[f"_h{i}" for i in range(K - S + 1)])
-    chosen = (F.col("_at") == 0) | (F.col("_h0") == least) | (F.col(f"_h{K - S}") == least)
-    return kmers.where(chosen).select(*keep, "place", F.xxhash64("_kmer", (F.col("_at") == 0).cast("int")).alias("hash"))
+    raw = rows.select(*keep, F.col(text).cast("binary").alias("_raw"))
+    n = F.octet_length("_raw")
+    cut = raw.where(n > 0).select(*keep, "_raw", F.explode(F.sequence(F.lit(0), n - 1, F.lit(STRIDE))).alias("_base"))
+    cut = cut.select(*keep, "_base", n.alias("_n"), F.col("_raw").substr(F.col("_base") + 1, F.lit(STRIDE + K - 1)).alias("_piece"))
+    size = F.octet_length("_piece")
+    inner = F.when(size >= K, F.sequence(F.lit(1), F.greatest(F.lit(1), size - (K - 1)))).otherwise(F.array().cast("array<int>"))
+    at = cut.select(*keep, "_base", "_piece", F.explode(F.when(F.col("_n") <= 2 * K, F.concat(inner, F.array(F.lit(0)))).otherwise(inner)).alias("_at"))
+    hashes = [F.xxhash64(F.col("_piece").substr(F.col("_at") + i, F.lit(S))) for i in range(K - S + 1)]
+    # each hash stands once in the condition, as a filter computes repeated expressions anew
+    closed = F.least(hashes[0], hashes[-1]) <= F.least(*hashes[1:-1])
+    whole = F.col("_at") == 0
+    kmer = F.when(whole, F.col("_piece")).otherwise(F.col("_piece").substr(F.col("_at"), F.lit(K)))
+    place = F.col("_base") + F.greatest(F.col("_at") - 1, F.lit(0))
+    return at.where(whole | closed).select(*keep, place.alias("place"), F.xxhash64(kmer, whole.cast("int")).alias("hash"))
 
 
 def ordered(docs: DataFrame) -> DataFrame:
