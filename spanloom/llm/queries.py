@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, chat, dedup, langid, matroska, packing, secrets, syncmers, warc
+from spanloom.llm import bpe, chat, dedup, langid, matroska, packing, secrets, syncmers, warc, wrappers
 from spanloom.plans.session import ship
 
 
@@ -61,7 +61,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {"op1_warc": op1_warc, "op2_langid": op2_langid, "op3_packing": op3_packing, "op4_syncmers": op4_syncmers, "op5_minhash": op5_minhash, "op6_bpe": op6_bpe, "op7_matroska": op7_matroska, "op8_chat": op8_chat, "op9_secrets": op9_secrets}
+def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+LLM_QUERIES = {"op1_warc": op1_warc, "op2_langid": op2_langid, "op3_packing": op3_packing, "op4_syncmers": op4_syncmers, "op5_minhash": op5_minhash, "op6_bpe": op6_bpe, "op7_matroska": op7_matroska, "op8_chat": op8_chat, "op9_secrets": op9_secrets, "op10_wrappers": op10_wrappers}
 
 LLM_ORACLE = {
     "op1_warc": """
