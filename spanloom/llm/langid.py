@@ -264,30 +264,57 @@ def predict(docs: DataFrame, model: Model, words: bool = False) -> DataFrame:
         tool = Labeller(model)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                stop, held, found = at, 0, []
-                while stop < len(texts) and (held < 200_000 or stop == at):
-                    found.append(words_of(texts[stop]))
-                    held += len(found[-1])
-                    stop += 1
-                full = [i for i, w in enumerate(found) if w and langs]
-                answer, score, runs = ["und"] * len(found), [0.0] * len(found), [[] for _ in found]
-                for i, m in zip(full, tool.marginals([found[i] for i in full]) if full else [], strict=True):
-                    mean = m.mean(0)
-                    best = int(mean.argmax())
-                    answer[i], score[i] = langs[best], float(min(1.0, max(0.0, mean[best])))
-                    if words:
-                        path = m.argmax(1)
-                        edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-                        runs[i] = [{"lang": langs[path[a]], "start": a, "words": b - a} for a, b in zip(edges, edges[1:], strict=False)]
-                cols = [ids.slice(at, stop - at), pa.array(answer, pa.string()), pa.array(score, pa.float64())] + [pa.array(runs, runs_type)] * words
+            for at, answer, score, marginals in answers(tool, texts):
+                cols = [ids.slice(at, len(answer)), pa.array(answer, pa.string()), pa.array(score, pa.float64())]
+                if words:
+                    cols.append(pa.array([runs_of(m, langs) for m in marginals], runs_type))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score"] + ["runs"] * words)
-                at = stop
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(labelled, kind)
 
 
+def answers(tool: Labeller, texts: list[str], held: int = 200_000):
+    """For runs of texts of about `held` words: where it starts, languages, scores, marginals (None without words)."""
+    langs, at = tool.model.langs, 0
+    while at < len(texts):
+        stop, size, found = at, 0, []
+        while stop < len(texts) and (size < held or stop == at):
+            found.append(words_of(texts[stop] or ""))
+            size += len(found[-1])
+            stop += 1
+        full = [i for i, w in enumerate(found) if w and langs]
+        answer, score, marginals = ["und"] * len(found), [0.0] * len(found), [None] * len(found)
+        for i, m in zip(full, tool.marginals([found[i] for i in full]) if full else [], strict=True):
+            mean = m.mean(0)
+            best = int(mean.argmax())
+            answer[i], score[i], marginals[i] = langs[best], float(min(1.0, max(0.0, mean[best]))), m
+        yield at, answer, score, marginals
+        at = stop
+
+
+def runs_of(marginal: np.ndarray | None, langs: list[str]) -> list[dict]:
+    """Runs of words with one most likely language."""
+    if marginal is None:
+        return []
+    path = marginal.argmax(1)
+    edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+    return [{"lang": langs[path[a]], "start": a, "words": b - a} for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language with a score of at least `least`."""
+    text = docs.columns.index("text")
+
+    def kept(batches):
+        tool = Labeller(model)
+        for batch in batches:
+            for at, answer, score, _ in answers(tool, batch.column(text).to_pylist()):
+                part = batch.slice(at, len(answer))
+                yield part.filter(pa.array([a != "und" and s >= least for a, s in zip(answer, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from training: crc32 of its id, as text, leaves 2 by 4."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2

@@ -129,3 +129,21 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
             out += [text[at:a], mark]
         at = max(at, b)
     return "".join(out) + text[at:] if out else text
+
+
+def redacted(docs: DataFrame, text_column: str = "text", chars_column: str = "n_chars") -> DataFrame:
+    """docs, all columns, with secrets replaced in the text and its length set anew. No shuffle."""
+    text = docs.columns.index(text_column)
+    chars = docs.columns.index(chars_column) if chars_column in docs.columns else -1
+
+    def cleaned(batches):
+        for batch in batches:
+            texts = [redact(t) for t in batch.column(text).to_pylist()]
+            cols = list(batch.columns)
+            cols[text] = pa.array(texts, pa.string())
+            if chars >= 0:
+                old = batch.column(chars).to_pylist()
+                cols[chars] = pa.array([n if t is None else len(t) for t, n in zip(texts, old, strict=True)], batch.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    return docs.mapInArrow(cleaned, docs.schema)
