@@ -1,0 +1,45 @@
+"""Raw recognition results, as JSON text, to timed tokens and voice ranges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Keys that may hold timestamps, and keys that may hold voice ranges; the first present counts.
+TIMES = ("timestamp", "timestamps", "time_stamp")
+VOICE = ("value", "vad", "vad_segments", "voice_ranges")
+SCHEMA = "text string, tokens array<string>, confidence array<double>, " + ", ".join(f"{k} array<array<double>>" for k in (*TIMES, *VOICE)) + ", sentence_info array<struct<text:string,start:double,end:double>>"
+
+
+def parsed(results: DataFrame, json: str = "raw") -> DataFrame:
+    return results.withColumn("_r", F.from_json(json, SCHEMA))
+
+
+def tokens(results: DataFrame, key: str, offset: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """key, token, text, start_ms, end_ms, confidence, precision.
+
+    The text of a pair is, first match: the token list; parts between blanks if as many; single
+    characters if as many; else nothing. Without pairs, sentences stand in at segment precision.
+    A confidence list counts only if it is as long as the pairs.
+    """
+    rows = parsed(results)
+    times = F.coalesce(*[F.col(f"_r.{k}") for k in TIMES])
+    words = F.filter(F.split(F.trim("_r.text"), r"\s+"), lambda x: x != "")
+    letters = F.filter(F.split("_r.text", ""), lambda x: F.trim(x) != "")
+    n = F.size("times")
+    source = F.when(F.size("_r.tokens") == n, F.col("_r.tokens")).when(F.size(words) == n, words).when(F.size(letters) == n, letters).otherwise(F.array().cast("array<string>"))
+    sure = F.when(F.size("_r.confidence") == n, F.col("_r.confidence")).otherwise(F.array().cast("array<double>"))
+    timed = rows.withColumn("times", times).where(F.size("times") > 0).select(key, F.posexplode(F.arrays_zip(F.col("times").alias("pair"), source.alias("text"), sure.alias("confidence"))).alias("token", "z"))
+    timed = timed.where("z.pair IS NOT NULL AND size(z.pair) = 2 AND z.text IS NOT NULL")
+    precision = F.when(F.length("z.text") == 1, "character").otherwise("token")
+    timed = timed.select(key, "token", F.col("z.text").alias("text"), (F.col("z.pair")[0] * scale + offset).alias("start_ms"), (F.col("z.pair")[1] * scale + offset).alias("end_ms"), F.when(F.col("z.confidence").between(0, 1), F.col("z.confidence")).alias("confidence"), precision.alias("precision"))
+    spoken = rows.withColumn("times", times).where(F.coalesce(F.size("times"), F.lit(0)) <= 0).select(key, F.posexplode("_r.sentence_info").alias("token", "s"))
+    spoken = spoken.select(key, "token", "s.text", (F.col("s.start") * scale + offset).alias("start_ms"), (F.col("s.end") * scale + offset).alias("end_ms"), F.lit(None).cast("double").alias("confidence"), F.lit("segment").alias("precision"))
+    return timed.unionByName(spoken)
+
+
+def voice_ranges(results: DataFrame, key: str) -> DataFrame:
+    """key, start, end (ms) of the voice ranges that a result holds, not yet merged."""
+    found = F.coalesce(*[F.col(f"_r.{k}") for k in VOICE])
+    rows = parsed(results).select(key, F.explode(found).alias("p")).where("size(p) = 2")
+    return rows.select(key, F.col("p")[0].alias("start"), F.col("p")[1].alias("end")).where("end > start")

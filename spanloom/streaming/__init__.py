@@ -1 +1,23 @@
+"""Streaming twins of operators that are incremental by nature."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def envelope(stream: DataFrame, key: str, time: str, value: str, width: str, late: str = "1 hour") -> DataFrame:
+    """key, block_start, min, max, rms of each tumbling window; state ends with the watermark."""
+    rows = stream.withWatermark(time, late)
+    out = rows.groupBy(key, F.window(time, width).alias("w")).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
+    return out.select(key, F.col("w.start").alias("block_start"), "min", "max", "rms")
+
+
+def gap_sessions(stream: DataFrame, key: str, time: str, gap_us: int, late: str = "1 hour") -> DataFrame:
+    """key, first, last, tokens of runs of events less than the gap apart.
+
+    Spark's sessions join events exactly a gap apart and ours split there, hence a microsecond less.
+    """
+    window = F.session_window(time, f"{gap_us - 1} microseconds")
+    out = stream.withWatermark(time, late).groupBy(key, window.alias("w")).agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("tokens"))
+    return out.drop("w")
