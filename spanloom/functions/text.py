@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: What normalisation drops: punctuation, symbols, controls, separators and white space; marks stay.
 DROPPED = r"[\p{P}\p{S}\p{C}\p{Z}\s]"
@@ -30,7 +31,7 @@ def normalize_with_origin(text: str) -> tuple[str, list[int]]:
 
 def normalized_any(df: DataFrame, text: str) -> DataFrame:
     """df with norm and origin, by the full Unicode rule."""
-    schema = df.schema.add("norm", "string").add("origin", "array<int>")
+    schema = StructType([*df.schema, StructField("norm", StringType()), StructField("origin", ArrayType(IntegerType()))])
 
     def run(batches):
         for pdf in batches:

@@ -357,8 +357,8 @@ def review_filter(spark, sf_dir):
     return reviewed(spark, sf_dir).where(review.in_mode("selected")).select("id")
 
 
-@query(f"""WITH {REVIEWED}, o AS (SELECT *, min(CASE WHEN status = 'needs_review' THEN id END) OVER (PARTITION BY project ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead, min(CASE WHEN status = 'needs_review' THEN id END) OVER (PARTITION BY project) AS any FROM rev)
-  SELECT project, id, coalesce(ahead, any) AS next_open FROM o""")
+@query(f"""WITH {REVIEWED}, o AS (SELECT *, min(CASE WHEN status = 'needs_review' THEN id END) OVER (PARTITION BY project ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead, min(CASE WHEN status = 'needs_review' THEN id END) OVER (PARTITION BY project) AS around FROM rev)
+  SELECT project, id, coalesce(ahead, around) AS next_open FROM o""")
 def next_unresolved(spark, sf_dir):
     return review.next_open(reviewed(spark, sf_dir), ["project"], "id").select("project", "id", "next_open")
 
