@@ -174,9 +174,9 @@ class Labeller:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
         self.table = np.zeros((1024, len(model.langs)), np.float32)
-        top = model.step.max()
+        top = model.step.max() if model.langs else 0.0
         self.jump = np.exp(model.step - top)
-        self.start = np.exp(model.start - model.start.max())
+        self.start = np.exp(model.start - (model.start.max() if model.langs else 0.0))
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Rows of the score table that hold the potentials of words."""
