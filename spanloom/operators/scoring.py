@@ -30,7 +30,8 @@ def flags(df: DataFrame) -> DataFrame:
     length = end - start
     odd = (length > F.greatest(F.lit(4000.0), F.col("length") * 1200.0)) | ((F.col("length") >= 3) & (length < F.col("length") * 15.0))
     return (
-        df.withColumn("edge_difference", apart)
+        df.withColumns({c: flag(F.col(c)) for c in ("repeated", "unstable")})
+        .withColumn("edge_difference", apart)
         .withColumn("short", flag(F.col("length") <= 2))
         .withColumn("insufficient", flag((force & (F.col("force_coverage") < MIN_FORCE)) | (asr & (F.col("asr_coverage") < MIN_ASR))))
         .withColumn("disagreement", flag(apart > TOLERANCE_MS))
@@ -53,7 +54,7 @@ def fused(df: DataFrame) -> DataFrame:
 
     def edge(name: str) -> Column:
         f, a = F.col(f"force_{name}"), F.col(f"asr_{name}")
-        return F.when(force & asr & (F.col("edge_difference") <= TOLERANCE_MS), (f + a) / 2).when(force & asr & ~flag(F.col("unstable")) & F.col("local"), f).when(asr, a).when(force, f).otherwise(F.col(f"proportional_{name}"))
+        return F.when(force & asr & (F.col("edge_difference") <= TOLERANCE_MS), (f + a) / 2).when(force & asr & ~F.col("unstable") & F.col("local"), f).when(asr, a).when(force, f).otherwise(F.col(f"proportional_{name}"))
 
     return df.withColumn("start_ms", edge("start")).withColumn("end_ms", edge("end"))
 
@@ -64,8 +65,9 @@ def confidence(df: DataFrame) -> DataFrame:
     agree = F.when(~F.col("disagreement"), 0.08 * F.greatest(F.lit(0.0), 1 - F.col("edge_difference") / TOLERANCE_MS)).otherwise(0.0)
     base = F.when(force & asr, 0.55 + 0.25 * F.col("force_coverage") + 0.12 * F.col("asr_coverage") + agree).when(force, 0.45 + 0.30 * F.col("force_coverage")).when(asr, 0.25 + 0.30 * F.col("asr_coverage")).otherwise(0.15)
     mixed = F.when(asr & ~F.col("confidence_unavailable"), 0.72 * base + 0.28 * F.col("mean_confidence")).when(F.col("confidence_unavailable"), F.least(base, F.lit(0.69))).otherwise(base)
-    for name, cost in PENALTIES.items():
-        mixed = mixed - F.when(flag(F.col(name)), cost).otherwise(0.0)
+    # one fold instead of nine branches: the compiled method of the projection stays small enough for the JIT
+    held = F.array(*[F.col(name).cast("double") * cost for name, cost in PENALTIES.items()])
+    mixed = F.aggregate(held, mixed, lambda left, cost: left - cost)
     capped = F.when(F.col("anomaly"), F.least(mixed, F.lit(0.20))).otherwise(mixed)
     return df.withColumn("confidence", F.bround(F.least(F.greatest(capped, F.lit(0.0)), F.lit(0.99)), 4))
 
@@ -73,7 +75,7 @@ def confidence(df: DataFrame) -> DataFrame:
 def reasons(df: DataFrame) -> DataFrame:
     """df with reasons: the names of the flags that hold, in their fixed order."""
     known = [r for r in REASONS if r in df.columns]
-    return df.withColumn("reasons", F.array_distinct(F.array_compact(F.array(*[F.when(flag(F.col(r)), F.lit(r)) for r in known]))))
+    return df.withColumn("reasons", F.array_distinct(F.array_compact(F.array(*[F.when(F.col(r), F.lit(r)) for r in known]))))
 
 
 def approved(df: DataFrame, least: float = AUTO) -> DataFrame:
