@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom import sinks, streaming
+from spanloom.functions import labels
 from spanloom.functions import text as T
-from spanloom.operators import align, intervals, markup, review, scoring, segments, signals
+from spanloom.operators import align, intervals, markup, projects, refine, review, scoring, segments, signals
 from spanloom.plans.carriers import CUTS, EVIDENCE, SCORED, SIGNAL, TOKENS, cuts, evidence, signal, table, tokens
 
 HOUR = 3_600_000_000
@@ -477,6 +478,90 @@ def stream_gap_sessions(spark, sf_dir):
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
 
 
+@query("""WITH t AS (SELECT doc_id, text, text[11:13] AS target, text[3:21] AS wide FROM documents WHERE length(text) >= 40),
+  n AS (SELECT doc_id, len(list_filter(range(1, length(text) - 1), lambda i: text[i:i + 2] = target)) AS a, len(list_filter(range(1, greatest(length(text) - 17, 1)), lambda i: text[i:i + 18] = wide)) AS b FROM t)
+  SELECT doc_id, a > 1 AND b <> 1 AS repeated FROM n""")
+def repeated_context(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where(F.length("text") >= 40)
+    return rows.select("doc_id", labels.is_repeated(F.col("text"), F.lit(10), F.lit(13)).alias("repeated"))
+
+
+@query("""SELECT conv_id, turn, round(turn * 1000 + 2 * 5000.0::DOUBLE / greatest(length(text), 1), 6) AS start_ms, round(turn * 1000 + 5 * 5000.0::DOUBLE / greatest(length(text), 1), 6) AS end_ms FROM conversations""")
+def fallback_range(spark, sf_dir):
+    low = F.col("turn") * 1000
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", labels.proportional(F.length("text"), F.lit(2), F.lit(5), low, low + 5000).alias("r"))
+    return rows.select("conv_id", "turn", F.round("r.start", 6).alias("start_ms"), F.round("r.end", 6).alias("end_ms"))
+
+
+@query("""WITH r AS (SELECT l_orderkey * 37 % 100000 + 4000 AS rate FROM lineitem), d AS (SELECT DISTINCT CAST(rate AS BIGINT) AS rate FROM r UNION SELECT 88200 UNION SELECT 96000),
+  k AS (SELECT rate, c, row_number() OVER (PARTITION BY rate ORDER BY abs(rate - c), c DESC) AS n FROM d, (SELECT unnest([8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000]) AS c))
+  SELECT rate, CAST(CASE WHEN rate > 48000 AND rate % 44100 = 0 THEN 44100 ELSE c END AS BIGINT) AS mp3_rate FROM k WHERE n = 1""")
+def mp3_rate(spark, sf_dir):
+    rates = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 37 % 100000 + 4000).alias("rate"))
+    rates = rates.union(spark.sql("SELECT * FROM VALUES (88200L), (96000L) AS t(rate)")).distinct()
+    return rates.select("rate", labels.mp3_rate(F.col("rate")).cast("long").alias("mp3_rate"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 20")
+def undo_history(spark, sf_dir):
+    return projects.history(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", 20)
+
+
+@query(f"""WITH {TOKENS} SELECT user_id, CAST(s // {HOUR * 24} AS BIGINT) AS day, round(avg(s / 1e6), 3) AS start, round(avg(e / 1e6), 3) AS "end", min(confidence) AS min_confidence, round(avg(confidence), 6) AS mean_confidence,
+  bool_and(precision <> 'segment') AS valid, round(greatest(max(s) - min(s), max(e) - min(e)) / 1e6, 3) AS spread, count(*) AS contexts FROM tokens GROUP BY ALL""")
+def averaged_ranges(spark, sf_dir):
+    rows = tokens(spark, sf_dir).select("user_id", F.floor(F.col("start") / (24 * HOUR)).alias("day"), (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"), "confidence", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("margin"), (F.col("precision") != "segment").alias("valid"))
+    out = refine.averaged(rows, ["user_id", "day"])
+    return out.select("user_id", "day", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "min_confidence", F.round("mean_confidence", 6).alias("mean_confidence"), "valid", F.round("spread", 3).alias("spread"), "contexts")
+
+
+@query(f"""WITH {REVIEWED}, o AS (SELECT project, count(*) FILTER (status = 'needs_review') AS open FROM rev GROUP BY ALL), c AS (SELECT page_id % 20 AS project, count(*) FILTER (page_id % 7 = 0) AS changed FROM pages GROUP BY ALL)
+  SELECT project, coalesce(open, 0) AS open, coalesce(changed, 0) AS changed, coalesce(open, 0) = 0 AND coalesce(changed, 0) = 0 AS ready FROM o FULL JOIN c USING (project)""")
+def export_gate(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    digest = F.sha2("html", 256)
+    sources = pages.select((F.col("page_id") % 20).alias("project"), digest.alias("sha256"), F.when(F.col("page_id") % 7 == 0, "old").otherwise(digest).alias("stored_sha256"), F.lit("x").alias("shape"), F.lit("x").alias("stored_shape"))
+    return projects.export_gate(reviewed(spark, sf_dir), sources, ["project"])
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey * 10.0::DOUBLE AS s, l_partkey * 10.0::DOUBLE + l_quantity * 100 AS t, l_linenumber % 2 = 0 AS located, l_suppkey * 50.0::DOUBLE AS anchor, CASE WHEN l_linenumber % 3 > 0 THEN l_suppkey * 50.0::DOUBLE + 9000 END AS upper FROM lineitem)
+  SELECT l_orderkey, l_linenumber, greatest(CASE WHEN located THEN s - 5000 ELSE anchor - 800 END, 0) AS start, least(CASE WHEN located THEN t + 5000 ELSE coalesce(upper, 20000) + 800 END, 20000) AS "end" FROM e""")
+def search_windows(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    s, anchor = F.col("l_partkey") * 10.0, F.col("l_suppkey") * 50.0
+    w = refine.search_window(F.col("l_linenumber") % 2 == 0, s, s + F.col("l_quantity") * 100, anchor, F.when(F.col("l_linenumber") % 3 > 0, anchor + 9000), F.lit(20000.0))
+    return rows.select("l_orderkey", "l_linenumber", w.alias("w")).select("l_orderkey", "l_linenumber", "w.start", "w.end")
+
+
+@query("SELECT available, supported, available >= 4 AND supported >= least(6, available) AS ok FROM (SELECT DISTINCT CAST(l_linenumber + 1 AS BIGINT) AS available, CAST(l_quantity AS BIGINT) % 9 AS supported FROM lineitem)")
+def context_support(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") + 1).cast("long").alias("available"), (F.col("l_quantity").cast("long") % 9).alias("supported")).distinct()
+    return rows.select("available", "supported", refine.is_supported(F.col("available"), F.col("supported")).alias("ok"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber * 3 AS BIGINT) AS a, CAST(l_linenumber * 3 + 4 AS BIGINT) AS b, l_partkey * 1.0::DOUBLE AS s, l_partkey * 1.0::DOUBLE + 400 AS t FROM lineitem)
+  SELECT l_orderkey, l_linenumber, greatest(a, 5) AS start, least(b, 14) AS "end", round(s + 100 * (greatest(a, 5) - a), 6) AS start_ms, round(s + 100 * (least(b, 14) - a), 6) AS end_ms FROM c WHERE least(b, 14) > greatest(a, 5)""")
+def clipped_spans(spark, sf_dir):
+    a = (F.col("l_linenumber") * 3).cast("long")
+    s = F.col("l_partkey").cast("double")
+    r = labels.interpolated(a, a + 4, s, s + 400, F.lit(5).cast("long"), F.lit(14).cast("long"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r.alias("r")).where("r IS NOT NULL")
+    return rows.select("l_orderkey", "l_linenumber", "r.start", "r.end", F.round("r.start_ms", 6).alias("start_ms"), F.round("r.end_ms", 6).alias("end_ms"))
+
+
+@query()
+def refine_cuts(spark, sf_dir):
+    """A predicted cut for each user over the user's own signal: edges of energy, crossings of the mean."""
+    heard = loudness(spark, sf_dir)
+    line = Window.partitionBy("user_id")
+    centred = heard.select("user_id", "sample", (F.col("v") - F.avg("v").over(line)).alias("v"))
+    peak = F.max(F.abs("v")).over(line)
+    crossings = signals.zero_crossings(centred.withColumn("energy", F.abs("v") / F.greatest(peak, F.lit(1e-12))), "user_id")
+    cand = heard.groupBy("user_id").agg(F.max("sample").alias("n")).where("n >= 60")
+    cand = cand.select("user_id", F.lit(20).cast("long").alias("predicted_start"), F.lit(45).cast("long").alias("predicted_end"), F.when(F.col("user_id") % 2 == 0, F.lit(8).cast("long")).alias("left_guard"), F.when(F.col("user_id") % 3 == 0, F.lit(60).cast("long")).alias("right_guard"), F.when(F.col("user_id") % 5 == 0, F.lit(22).cast("long")).alias("vad_start"), F.lit(None).cast("long").alias("vad_end"))
+    return refine.refine(cand, signals.energy_edges(heard, "user_id", 2, 1), crossings, "user_id", "user_id", 1000, 61).select("user_id", "refined_start", "refined_end", "expanded", "reverted", "review_required")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project, cuts, removed, kept: what merged cuts take and what they leave of the window."""
     merged = interval_merge(spark, sf_dir)
