@@ -44,6 +44,19 @@ def viewport(level: DataFrame, key: str, first: int, last: int, most: int) -> Da
     return rows.groupBy(key, F.floor((F.col("block") - first) / step).alias("bucket")).agg(F.min("min").alias("min"), F.max("max").alias("max"))
 
 
+def resampled(signal: DataFrame, key: str, rate: int, to: int = 16_000) -> DataFrame:
+    """key, sample, v at another rate, between neighbours in proportion; the signal as it is at the same rate."""
+    if rate == to:
+        return signal.select(key, "sample", "v")
+    after = F.lead("v").over(Window.partitionBy(key).orderBy("sample"))
+    rows = signal.withColumn("_after", after)
+    first, last = F.ceil(F.col("sample") * to / rate), F.ceil((F.col("sample") + 1) * to / rate) - 1
+    rows = rows.withColumn("_last", F.when(F.col("_after").isNull(), F.when(first == F.col("sample") * to / rate, first)).otherwise(last)).where(F.col("_last") >= first)
+    rows = rows.withColumn("_k", F.explode(F.sequence(first, F.col("_last"))))
+    part = F.col("_k") * rate / to - F.col("sample")
+    return rows.select(key, F.col("_k").alias("sample"), (F.col("v") + part * (F.coalesce("_after", "v") - F.col("v"))).alias("v"))
+
+
 def mono(signal: DataFrame, keys: list[str]) -> DataFrame:
     """keys, sample, v: the mean over channels."""
     return signal.groupBy(*keys, "sample").agg(F.avg("v").alias("v"))

@@ -116,6 +116,13 @@ def envelope_viewport(spark, sf_dir):
     return signals.viewport(signals.envelope(signal(spark, sf_dir), "vec_id", 8), "vec_id", 1, 7, 3)
 
 
+@query(f"""WITH {SIGNAL}, k AS (SELECT vec_id, k, k * 3 / 2.0::DOUBLE AS pos FROM embeddings, (SELECT unnest(range(0, 43)) AS k))
+  SELECT k.vec_id, k.k AS sample, round(a.v + (pos - floor(pos)) * (coalesce(b.v, a.v) - a.v), 6) AS v FROM k JOIN signal a ON a.vec_id = k.vec_id AND a.sample = CAST(floor(pos) AS BIGINT) LEFT JOIN signal b ON b.vec_id = k.vec_id AND b.sample = a.sample + 1
+  WHERE pos <= 63""")
+def resample(spark, sf_dir):
+    return rounded(signals.resampled(signal(spark, sf_dir), "vec_id", 24_000, 16_000), "v")
+
+
 STEREO = f"{SIGNAL}, stereo AS (SELECT vec_id // 2 AS pair, CAST(vec_id % 2 AS INT) AS channel, sample, v FROM signal)"
 
 

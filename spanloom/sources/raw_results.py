@@ -19,7 +19,7 @@ def tokens(results: DataFrame, key: str, offset: float = 0.0, scale: float = 1.0
     """key, token, text, start_ms, end_ms, confidence, precision.
 
     The text of a pair is, first match: the token list; parts between blanks if as many; single
-    characters if as many; else nothing. Without pairs, sentences stand in at segment precision.
+    characters if as many; else the characters shared out in proportion. Without pairs, sentences stand in at segment precision.
     A confidence list counts only if it is as long as the pairs.
     """
     rows = parsed(results)
@@ -27,10 +27,13 @@ def tokens(results: DataFrame, key: str, offset: float = 0.0, scale: float = 1.0
     words = F.filter(F.split(F.trim("_r.text"), r"\s+"), lambda x: x != "")
     letters = F.filter(F.split("_r.text", ""), lambda x: F.trim(x) != "")
     n = F.size("times")
-    source = F.when(F.size("_r.tokens") == n, F.col("_r.tokens")).when(F.size(words) == n, words).when(F.size(letters) == n, letters).otherwise(F.array().cast("array<string>"))
+    plain, many = F.array_join(letters, ""), F.size(letters)
+    bound = lambda i: F.bround(i * many / n).cast("int")
+    shared = F.transform(F.sequence(F.lit(0), n - 1), lambda i: plain.substr(bound(i) + 1, bound(i + 1) - bound(i)))
+    source = F.when(F.size("_r.tokens") == n, F.col("_r.tokens")).when(F.size(words) == n, words).when(F.size(letters) == n, letters).when(many > 0, shared).otherwise(F.array().cast("array<string>"))
     sure = F.when(F.size("_r.confidence") == n, F.col("_r.confidence")).otherwise(F.array().cast("array<double>"))
     timed = rows.withColumn("times", times).where(F.size("times") > 0).select(key, F.posexplode(F.arrays_zip(F.col("times").alias("pair"), source.alias("text"), sure.alias("confidence"))).alias("token", "z"))
-    timed = timed.where("z.pair IS NOT NULL AND size(z.pair) = 2 AND z.text IS NOT NULL")
+    timed = timed.where("z.pair IS NOT NULL AND size(z.pair) = 2 AND z.text <> ''")
     precision = F.when(F.length("z.text") == 1, "character").otherwise("token")
     timed = timed.select(key, "token", F.col("z.text").alias("text"), (F.col("z.pair")[0] * scale + offset).alias("start_ms"), (F.col("z.pair")[1] * scale + offset).alias("end_ms"), F.when(F.col("z.confidence").between(0, 1), F.col("z.confidence")).alias("confidence"), precision.alias("precision"))
     spoken = rows.withColumn("times", times).where(F.coalesce(F.size("times"), F.lit(0)) <= 0).select(key, F.posexplode("_r.sentence_info").alias("token", "s"))

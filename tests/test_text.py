@@ -77,10 +77,10 @@ def test_anchored_alignment_finds_the_thinned_text():
 
 
 def test_raw_results(spark):
-    rows = [(1, '{"text": "a b c", "timestamp": [[0, 100], [100, 200], [200, 300]]}'), (2, '{"text": "", "sentence_info": [{"text": "hi", "start": 5, "end": 9}]}'), (3, '{"text": "xyz", "timestamp": [[0, 1]], "value": [[90, 800], [1200, 2500]]}')]
+    rows = [(1, '{"text": "a b c", "timestamp": [[0, 100], [100, 200], [200, 300]]}'), (2, '{"text": "", "sentence_info": [{"text": "hi", "start": 5, "end": 9}]}'), (3, '{"text": "xyz", "timestamp": [[0, 1]], "value": [[90, 800], [1200, 2500]]}'), (4, '{"text": "abcde", "time_stamp": [[0, 1], [1, 2]]}')]
     df = spark.createDataFrame(rows, "id long, raw string")
     got = [(r.id, r.text, r.start_ms, r.precision) for r in tokens(df, "id", offset=500.0).orderBy("id", "token").collect()]
-    assert got == [(1, "a", 500.0, "character"), (1, "b", 600.0, "character"), (1, "c", 700.0, "character"), (2, "hi", 505.0, "segment"), (3, "xyz", 500.0, "token")]
+    assert got == [(1, "a", 500.0, "character"), (1, "b", 600.0, "character"), (1, "c", 700.0, "character"), (2, "hi", 505.0, "segment"), (3, "xyz", 500.0, "token"), (4, "ab", 500.0, "token"), (4, "cde", 501.0, "token")]
     assert voice_ranges(df, "id").count() == 2
 
 
