@@ -22,8 +22,9 @@ from pyspark.sql.window import Window
 
 from spanloom.llm.common import text_of
 
-#: Bounds of the training sample: documents a language, and code points of a document that may be drawn.
-SAMPLE_DOCS, SAMPLE_CHARS = 200, 20_000
+#: Bounds of the training sample: documents a language, code points of a document that may be drawn, and how many times
+#: the sample the first draw leaves.
+SAMPLE_DOCS, SAMPLE_CHARS, DRAWN = 200, 20_000, 8
 #: Hashed features, words of the lexicon a language, words of a training sequence, sequences, passes.
 FEATURES, LEXICON, SEQUENCE, SEQUENCES, PASSES = 1 << 16, 400, 24, 6000, 3
 RATE, DECAY, SEED = 0.25, 1e-6, 7
@@ -71,10 +72,16 @@ def sample(labelled: DataFrame) -> DataFrame:
     """lang, text: at most SAMPLE_DOCS documents of each language, drawn by a hash of their ids.
 
     Only rows of at most SAMPLE_CHARS code points are drawn, so the sample has a bound of
-    SAMPLE_DOCS * SAMPLE_CHARS code points a language. Each task first keeps its own
-    SAMPLE_DOCS rows a language, so a language with most of the rows is no burden.
+    SAMPLE_DOCS * SAMPLE_CHARS code points a language. A first draw by hash, at a rate that
+    the language's number of rows sets, leaves about DRAWN times the sample; only these rows
+    are ranked, so a language with most of the rows is no burden at any size.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text").between(1, SAMPLE_CHARS))
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    if not counts:
+        return rows.select("lang", "text")
+    rate = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, DRAWN * SAMPLE_DOCS / n))])
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "text"))
     return rows.select("doc_id", "lang", "text", nth.alias("nth")).where(F.col("nth") <= SAMPLE_DOCS).select("lang", "text")
 
@@ -301,7 +308,7 @@ def runs_of(marginal: np.ndarray | None, langs: list[str]) -> list[dict]:
     return [{"lang": langs[path[a]], "start": a, "words": b - a} for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     """The rows of docs, all columns, whose text has a language with a score of at least `least`."""
     text = docs.columns.index("text")
 
