@@ -5,7 +5,7 @@ signature, and each tree of the forest sorts the classes by its own order of the
 values. Neighbours in a sorted order have the longest common prefix, so they are the first
 candidates: at most two a tree and class, in a region of any density. What shares a prefix of
 DEPTH values is a region; in regions whose classes are not yet one component, all pairs across
-components that the signatures leave in doubt are looked at as well, in blocks of bounded
+components that bounds and signatures leave in doubt are looked at as well, in blocks of bounded
 size. So depth adapts where a region is dense and alike, and no pair that shares a region is
 lost where it isn't.
 """
@@ -182,18 +182,16 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]
         yield held
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (gid, a, b) whose full sets are similar enough, as (a, b).
 
-    The text of a document goes once to each group gid that names it, and its set is taken
-    once there.
+    texts: id, text. The text of a document goes once to each group gid that names it, and its
+    set is taken once there.
     """
     ends = pairs.select("gid", F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = ends.select("id").distinct()
-    texts = written(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
     rows = ends.join(texts, "id").select("gid", F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("b"), "text")
     rows = rows.unionByName(pairs.select("gid", F.lit(1).alias("kind"), F.col("a").alias("id"), "b", F.lit(None).cast("string").alias("text")))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def checked(batches):
         for _, kinds, ids, others, texts in grouped(batches, 1):
@@ -204,27 +202,52 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return rows.repartition(n, "gid").sortWithinPartitions("gid", "kind").mapInArrow(checked, "a long, b long")
 
 
+def own_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """id, own: how many shingles of each text no other text of the table has."""
+
+    def exploded(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingles(t, width) for t in part.column(1).to_pylist()]
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(ids, pa.int64())], ["shingle", "id"])
+
+    rows = texts.select("id", "text").mapInArrow(exploded, "shingle long, id long")
+    once = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    return once.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def in_doubt(members: DataFrame, percent: int) -> DataFrame:
     """gid, a, b: pairs across components in regions that hold several, each pair in one region only.
 
-    members: region, id, component, n, sig. A region is cut into blocks and each pair of
-    blocks is a group; a pair goes to the first tree in which it meets.
+    members: region, id, component, n, own, sig; own shingles are in no other document that
+    shares a region, so a pair has at most as many in common as the smaller rest. That bound,
+    which is exact, sets apart copies with changes of their own. A region is cut into blocks and
+    each pair of blocks is a group; a pair goes to the first tree in which it meets.
     """
     sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     rows = members.join(sizes.select("region", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "region")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.select("region", "id", "component", "n", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sig")
+    rows = rows.select("region", "id", "component", "n", F.col("own").alias("alone"), "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "alone", "sig")
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def crossed(batches):
-        for region, i, j, own, ids, comps, sizes, sigs in grouped(batches, 3):
+        for region, i, j, own, ids, comps, sizes, alone, sigs in grouped(batches, 3):
             ids, comps, sizes, own = np.array(ids), np.array(comps), np.array(sizes), np.array(own)
+            rest = sizes - np.array(alone)
+            if (comps == comps[0]).all() or not (100 * rest >= percent * sizes).any():
+                continue
             sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, SIGNATURE)
             tree = None
             out = []
             for at in range(len(ids)):
-                to = np.flatnonzero((comps != comps[at]) & (ids > ids[at]) & (100 * np.minimum(sizes, sizes[at]) >= percent * np.maximum(sizes, sizes[at])) & ((i[0] == j[0]) | (own != own[at])))
+                if 100 * rest[at] < percent * sizes[at]:
+                    continue
+                shared = np.minimum(rest, rest[at])
+                to = np.flatnonzero((comps != comps[at]) & (ids > ids[at]) & (100 * shared >= percent * (sizes + sizes[at] - shared)) & ((i[0] == j[0]) | (own != own[at])))
                 if not len(to):
                     continue
                 equal = sig[to] == sig[at]
@@ -232,10 +255,9 @@ def in_doubt(members: DataFrame, percent: int) -> DataFrame:
                 if not likely.any():
                     continue
                 to, equal = to[likely], equal[likely]
-                shared = equal.reshape(-1, TREES, DEPTH).all(2)
                 if tree is None:
                     tree = _tree_of(region[0], sig[at])
-                first = shared.argmax(1)
+                first = equal.reshape(-1, TREES, DEPTH).all(2).argmax(1)
                 out += [(int(ids[at]), int(ids[k])) for k, t in zip(to, first, strict=True) if t == tree]
             if out:
                 gid = xxhash.xxh3_64_intdigest(f"{region[0]}:{i[0]}:{j[0]}") >> 1
@@ -280,14 +302,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     ends = met.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("e"), "a", "b", "trees")
     nth = F.row_number().over(Window.partitionBy("e.id").orderBy(F.desc("trees"), "e.to"))
     proposed = written(ends.withColumn("nth", nth).where(F.col("nth") <= PROPOSED).select(F.col("a").alias("gid"), "a", "b").distinct(), "proposed")
-    links = written(confirm(proposed, docs, width, percent), "links")
+    met_ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = written(docs.join(met_ids, docs["doc_id"] == met_ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
+    links = written(confirm(proposed, texts, width, percent), "links")
     label = components(links)
 
     members = written(near.select("region", F.explode(F.array("a", "b")).alias("id")).distinct().join(label, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component")), "members")
     several = members.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
-    rest = members.join(several, "region", "left_semi").join(reps.dropDuplicates(["id"]), "id")
+    rest = written(members.join(several, "region", "left_semi"), "several")
+    alone = own_shingles(texts.join(rest.select("id").distinct(), "id", "left_semi"), width)
+    rest = rest.join(reps.dropDuplicates(["id"]).join(alone, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))), "id")
     doubtful = written(in_doubt(rest, percent), "in-doubt").join(proposed.select("a", "b"), ["a", "b"], "left_anti")
-    more = confirm(doubtful.select("gid", "a", "b"), docs, width, percent)
+    more = confirm(doubtful.select("gid", "a", "b"), texts, width, percent)
     to = label.select(F.col("id").alias("_id"), "component")
     for end in ("a", "b"):
         more = more.join(to, F.col(end) == F.col("_id"), "left").withColumn(end, F.coalesce("component", end)).drop("_id", "component")
