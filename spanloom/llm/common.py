@@ -59,7 +59,7 @@ def lookup(left: DataFrame, groups: DataFrame, key: str, values: list[str], size
     rows of `left` are dealt out by `spread` instead. `spread` has to be a string that is
     unique enough to spread rows and never equals a key.
     """
-    slim = groups.select(key, *values, size)
+    slim = groups.select(key, *dict.fromkeys([*values, size]))
     hot = slim.orderBy(F.desc(size), key).limit(HOT_KEYS).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
     cold = slim.select(F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold"))
     near = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")

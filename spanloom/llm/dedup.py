@@ -3,7 +3,8 @@
 Documents with equal shingle sets become one class at once. Each class has a MinHash
 signature, and each tree of the forest sorts the classes by its own order of the signature's
 values. Neighbours in a sorted order have the longest common prefix, so they are the first
-candidates: at most two a tree and class, in a region of any density. What shares a prefix of
+candidates: at most two a tree and class, in a region of any density; of these each class
+proposes the few whose signatures are most like its own. What shares a prefix of
 DEPTH values is a region; in regions whose classes are not yet one component, all pairs across
 components that bounds and signatures leave in doubt are looked at as well, in blocks of bounded
 size. So depth adapts where a region is dense and alike, and no pair that shares a region is
@@ -31,7 +32,7 @@ SIGNATURE = TREES * DEPTH
 #: Equal values (of SIGNATURE) below which a pair is not looked at: at 0.8 the chance to be below is 1e-8.
 IN_DOUBT = 55
 #: Classes of a block; partners a class proposes in the first pass.
-BLOCK, PROPOSED = 512, 2
+BLOCK, PROPOSED = 512, 3
 WORD_MEMO = 400_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(11)
@@ -157,6 +158,23 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(chained, "region long, a long, b long")
 
 
+def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """a, b, equal: the pairs whose signatures agree in IN_DOUBT values or more, and in how many."""
+
+    def counted(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, SIGNATURE) for i in (2, 3))
+            equal = (x == y).sum(1)
+            kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal, pa.int64())], ["a", "b", "equal"])
+            yield kept.filter(pa.array(equal >= IN_DOUBT))
+
+    sig = reps.select("id", "sig").dropDuplicates(["id"])
+    rows = pairs.join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(counted, "a long, b long, equal long")
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
     """Columns of each run of rows with equal first `keys` columns, across batches."""
     held: list[list] | None = None
@@ -222,13 +240,12 @@ def own_shingles(texts: DataFrame, width: int) -> DataFrame:
 def in_doubt(members: DataFrame, percent: int) -> DataFrame:
     """gid, a, b: pairs across components in regions that hold several, each pair in one region only.
 
-    members: region, id, component, n, own, sig; own shingles are in no other document that
+    members: region, size (of the region), id, component, n, own, sig; own shingles are in no other document that
     shares a region, so a pair has at most as many in common as the smaller rest. That bound,
     which is exact, sets apart copies with changes of their own. A region is cut into blocks and
     each pair of blocks is a group; a pair goes to the first tree in which it meets.
     """
-    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows = members.join(sizes.select("region", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "region")
+    rows = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.select("region", "id", "component", "n", F.col("own").alias("alone"), "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "alone", "sig")
@@ -298,9 +315,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     reps = classed.where("sig IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "sig")
 
     near = written(neighbours(forest_rows(reps)), "neighbours")
-    met = near.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("trees"))
-    ends = met.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("e"), "a", "b", "trees")
-    nth = F.row_number().over(Window.partitionBy("e.id").orderBy(F.desc("trees"), "e.to"))
+    met = near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    scored = alike(met, reps)
+    ends = scored.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("e"), "a", "b", "equal")
+    nth = F.row_number().over(Window.partitionBy("e.id").orderBy(F.desc("equal"), "e.to"))
     proposed = written(ends.withColumn("nth", nth).where(F.col("nth") <= PROPOSED).select(F.col("a").alias("gid"), "a", "b").distinct(), "proposed")
     met_ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = written(docs.join(met_ids, docs["doc_id"] == met_ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
@@ -308,11 +326,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     label = components(links)
 
     members = written(near.select("region", F.explode(F.array("a", "b")).alias("id")).distinct().join(label, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component")), "members")
-    several = members.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
-    rest = written(members.join(several, "region", "left_semi"), "several")
+    keyed = members.withColumn("key", F.col("region").cast("string"))
+    regions = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    rest = lookup(keyed, regions, "key", ["low", "high", "size"], "size", F.concat(F.lit("#"), F.col("id").cast("string")))
+    rest = written(rest.where("low < high").select("region", "size", "id", "component"), "several")
     alone = own_shingles(texts.join(rest.select("id").distinct(), "id", "left_semi"), width)
     rest = rest.join(reps.dropDuplicates(["id"]).join(alone, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))), "id")
-    doubtful = written(in_doubt(rest, percent), "in-doubt").join(proposed.select("a", "b"), ["a", "b"], "left_anti")
+    doubtful = written(in_doubt(rest, percent).join(proposed.select("a", "b"), ["a", "b"], "left_anti"), "in-doubt")
     more = confirm(doubtful.select("gid", "a", "b"), texts, width, percent)
     to = label.select(F.col("id").alias("_id"), "component")
     for end in ("a", "b"):
