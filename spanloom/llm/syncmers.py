@@ -65,6 +65,8 @@ def ordered(docs: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(edges), F.col("_own") == F.col("_of"))
     to = F.array_compact(F.array(F.struct(F.col("_own").alias("bucket"), F.lit(False).alias("edge")), F.when(F.col("doc_id").eqNullSafe(F.col("_top")), F.struct(F.col("_to").alias("bucket"), F.lit(True).alias("edge")))))
     rows = rows.select("doc_id", "text", F.explode(to).alias("_to")).select("_to.bucket", "_to.edge", "doc_id", "text")
+    # never null; said here, so that both readers of these rows have one plan and one shuffle
+    rows = rows.where(F.col("bucket").isNotNull())
     line = Window.partitionBy("bucket").orderBy("edge", F.desc_nulls_last("doc_id"), "text")
     return rows.select("bucket", F.row_number().over(line).alias("pos"), "doc_id", "text", F.lead("text").over(line).alias("next_text"), "edge")
 
