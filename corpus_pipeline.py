@@ -16,7 +16,7 @@ from spanloom.plans.session import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those of which no language holds two fifths."""
+    """Documents without a letter go, and those whose words are told with a mean confidence under two fifths."""
     ship(spark)
     return langid.accepted(docs, langid.fit(docs))
 

@@ -57,6 +57,8 @@ class Model:
     step: np.ndarray
     start: np.ndarray
     lexicon: dict[str, int]
+    #: Whether two languages or more had words to tell them by; otherwise all weights are zero.
+    fitted: bool = False
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores of words, len(words) x languages."""
@@ -136,6 +138,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
     model = Model(langs, np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros(k), lexicon)
     if len(usable) < 2:
         return model
+    model.fitted = True
     known: dict[str, np.ndarray] = {}
     sequences, labels = [], np.empty((SEQUENCES, SEQUENCE), np.int64)
     for s in range(SEQUENCES):
@@ -309,15 +312,26 @@ def runs_of(marginal: np.ndarray | None, langs: list[str]) -> list[dict]:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language with a score of at least `least`."""
+    """The rows of docs, all columns, whose words are told with a mean confidence of at least `least`.
+
+    The confidence of a word is its largest marginal, whichever language that is, so a text in
+    several languages is not held against itself. A model that was not fitted tells nothing: then
+    every text with a letter stays.
+    """
     text = docs.columns.index("text")
 
+    def sure(marginal: np.ndarray | None, letters: bool) -> bool:
+        if marginal is None or not model.fitted:
+            return letters
+        return float(marginal.max(1).mean()) >= least
+
     def kept(batches):
         tool = Labeller(model)
         for batch in batches:
-            for at, answer, score, _ in answers(tool, batch.column(text).to_pylist()):
+            texts = batch.column(text).to_pylist()
+            for at, answer, _, marginals in answers(tool, texts):
                 part = batch.slice(at, len(answer))
-                yield part.filter(pa.array([a != "und" and s >= least for a, s in zip(answer, score, strict=True)], pa.bool_()))
+                yield part.filter(pa.array([sure(m, WORD.search(t or "") is not None) for m, t in zip(marginals, texts[at : at + len(answer)], strict=True)], pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
 
