@@ -24,10 +24,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays.
 
-    Rows that repeat a doc_id are one document and stay or go together.
+    Links are by five-word shingles; the four words of op5_minhash are that query's own. Rows that repeat a doc_id are one document and stay or go together.
     """
     ship(spark)
-    gone = dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    gone = dedup.near_duplicates(docs, width=5).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

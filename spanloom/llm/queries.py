@@ -37,7 +37,7 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

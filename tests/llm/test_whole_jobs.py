@@ -1,5 +1,9 @@
 """Cases in which a part of the job was once left out."""
 
+import itertools
+import random
+
+import corpus_pipeline
 import numpy as np
 
 from spanloom.llm import langid
@@ -27,3 +31,27 @@ def test_texts_stay_when_no_model_can_be_fitted(spark):
     for model in (langid.train([]), langid.train([("aa", "one two"), ("bb", "1"), ("cc", "2")])):
         assert not model.fitted
         assert {r.doc_id for r in langid.accepted(docs, model).collect()} == {1}
+
+
+def similarity(a, b, width):
+    x, y = ({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_the_stage_links_by_five_words(spark):
+    ship(spark)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = {0: " ".join(base)}
+    for k, places in enumerate(([60], [30, 60, 90], [10, 60, 110], [20, 50, 80, 100]), 1):
+        texts[k] = " ".join(f"x{k}" if i in places else w for i, w in enumerate(base))
+    between = {i for i in texts if i and similarity(texts[0], texts[i], 5) < 0.8 <= similarity(texts[0], texts[i], 4)}
+    assert between
+    label = {i: i for i in texts}
+    for _ in texts:
+        for a, b in itertools.combinations(texts, 2):
+            if similarity(texts[a], texts[b], 5) >= 0.8:
+                label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert left == {i for i in texts if label[i] == i} and between <= left
