@@ -1,8 +1,8 @@
 """Main text of web pages, with wrappers inferred for each host.
 
 A wrapper is a union-free regular expression over the tokens of a host's pages: tags, fixed
-texts, text slots, optional groups and repeated groups. It is inferred from a few pages of
-the host, one after another: where a page and the wrapper differ in a text, the text becomes a
+texts, text slots, optional groups and repeated groups. It is inferred from all distinct pages
+of the host, small groups of pages first and then their wrappers, in a tree: where a page and the wrapper differ in a text, the text becomes a
 slot; where they differ in tags, a run that repeats what stands before it becomes a repeated
 group, and what only one side has becomes optional. Texts that stay fixed are the host's own.
 
@@ -13,7 +13,11 @@ article, without the host's fixed texts.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import pickle
 import re
+import zlib
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -24,12 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.llm.common import lookup, text_of
+from spanloom.llm.common import lookup, text_of, written
 
-#: Bounds of what a wrapper is inferred from: pages of a host, code points of a page, tokens looked ahead for a group.
-PAGES, PAGE_CHARS, AHEAD = 6, 100_000, 200
-#: Fixed texts that a wrapper keeps.
-FIXED = 2000
+#: Pages that make a first wrapper, wrappers that are merged at once, tokens looked ahead for a group.
+PAGES, MERGED, AHEAD = 32, 8, 200
 TOKEN = re.compile(r"""(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 ATTRIBUTE = re.compile(r"""(?s)\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -215,7 +217,7 @@ def repeated(out: list[tuple], side: list[tuple], at: int) -> tuple[list[tuple],
 
 
 def generalise(wrapper: list[tuple], page: list[tuple]) -> list[tuple]:
-    """A wrapper that reads what wrapper reads and page too."""
+    """A wrapper that reads what wrapper reads and page too; page may be a wrapper itself."""
     out: list[tuple] = []
     i = j = 0
     while i < len(wrapper) or j < len(page):
@@ -227,6 +229,10 @@ def generalise(wrapper: list[tuple], page: list[tuple]) -> list[tuple]:
                 stop = reads(w[1], page, j) if w[0] == "rep" else -1
             out.append(w)
             i += 1
+        elif p and p[0] in ("opt", "rep"):
+            if not out or out[-1] != p:
+                out.append(p)
+            j += 1
         elif w and p and w[0] == p[0] == "text":
             out.append(w if w[1] == p[1] else ("text", None))
             i, j = i + 1, j + 1
@@ -273,8 +279,14 @@ def infer(pages: list[str]) -> list[tuple]:
 
 
 def fixed_texts(wrapper: list[tuple]) -> list[int]:
-    """Hashes of the texts that a wrapper holds fixed outside optional and repeated groups."""
-    return sorted({xxhash.xxh3_64_intdigest(v) >> 1 for k, v in wrapper if k == "text" and v})[:FIXED]
+    """Hashes of the texts that a wrapper holds fixed outside optional and repeated groups.
+
+    A wrapper without a slot or group is one page, however often copied: nothing in it is
+    told from the page's own text, so none of it is fixed.
+    """
+    if not any(k in ("opt", "rep") or v is None for k, v in wrapper):
+        return []
+    return sorted({xxhash.xxh3_64_intdigest(v) >> 1 for k, v in wrapper if k == "text" and v})
 
 
 def main_text(html: str, fixed: frozenset[int] | set[int] = frozenset()) -> str:
@@ -286,8 +298,9 @@ def main_text(html: str, fixed: frozenset[int] | set[int] = frozenset()) -> str:
             told = [b for b in told if b.content == content]
             fixed = frozenset()
             break
-    lines = (" ".join(unescape("".join(b.parts)).split()) for b in told)
-    return "\n".join(x for x in lines if x and not (fixed and xxhash.xxh3_64_intdigest(x) >> 1 in fixed))
+    lines = [x for b in told if (x := " ".join(unescape("".join(b.parts)).split()))]
+    own = [x for x in lines if not (fixed and xxhash.xxh3_64_intdigest(x) >> 1 in fixed)]
+    return "\n".join(own or lines)
 
 
 def host(url: str = "url"):
@@ -298,20 +311,59 @@ def host(url: str = "url"):
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, fixed (hashes of fixed texts), pages: the wrapper of each host in brief.
 
-    A wrapper is inferred from at most PAGES pages of at most PAGE_CHARS code points, drawn by
-    a hash of their ids; each task first keeps its own PAGES a host, so a host with most of
-    the pages is no burden. The number of pages of a host counts them all.
+    Every distinct page of a host takes part, as its tokens: about PAGES of them, dealt by a
+    digest, make a first wrapper, and MERGED wrappers make one until the host has one, so no
+    task holds the pages of a host with most of them. Copies go in the task that reads them,
+    or else in their group. The number of pages of a host counts them all.
     """
-    rows = pages.select(host().alias("host"), "page_id", text_of("html").alias("html"))
-    nth = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id", "html"))
-    drawn = rows.where(F.length("html") <= PAGE_CHARS).withColumn("nth", nth).where(F.col("nth") <= PAGES)
+    rows = pages.select(host().alias("host"), text_of("html").alias("html"))
+    sizes = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
 
-    def inferred(group: pd.DataFrame) -> pd.DataFrame:
-        found = fixed_texts(infer(group.sort_values("nth")["html"].tolist()))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "fixed": [found]})
+    def streams(batches):
+        seen = set()
+        for batch in batches:
+            hosts, digests, tokens = [], [], []
+            for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = json.dumps(as_wrapper(scan(html)[0])).encode()
+                digest = hashlib.md5(raw).hexdigest()
+                if (name, digest) not in seen:
+                    seen.add((name, digest))
+                    hosts.append(name)
+                    digests.append(digest)
+                    tokens.append(zlib.compress(raw, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.string()), pa.array(tokens, pa.binary())], ["host", "digest", "tokens"])
+
+    def first(group: pd.DataFrame) -> pd.DataFrame:
+        wrapper: list[tuple] | None = None
+        for tokens in group.drop_duplicates("digest").sort_values("digest")["tokens"]:
+            stream = [tuple(x) for x in json.loads(zlib.decompress(tokens))]
+            wrapper = stream if wrapper is None else generalise(wrapper, stream)
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "part": [int(group["part"].iloc[0])], "wrapper": [pickle.dumps(wrapper)]})
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        found = [pickle.loads(w) for w in group.sort_values("part")["wrapper"]]
+        wrapper = found[0]
+        for w in found[1:]:
+            wrapper = generalise(wrapper, w)
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "part": [int(group["part"].iloc[0]) // MERGED], "wrapper": [pickle.dumps(wrapper)]})
+
+    kind = "host string, part long, wrapper binary"
+    distinct = rows.where("html <> ''").mapInArrow(streams, "host string, digest string, tokens binary")
+    dealt = lookup(distinct, sizes, "host", ["pages"], "pages", F.concat(F.lit("#"), F.col("digest")))
+    part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("pages") / PAGES).cast("long"))
+    told = dealt.select("host", part.alias("part"), "digest", "tokens").groupBy("host", "part").applyInPandas(first, kind)
+    left = -(-(sizes.agg(F.max("pages")).first()[0] or 0) // PAGES)
+    while left > 1:
+        told = told.groupBy("host", F.floor(F.col("part") / MERGED).alias("_to")).applyInPandas(merged, kind)
+        left = -(-left // MERGED)
+
+    def brief(batches):
+        for batch in batches:
+            fixed = [fixed_texts(pickle.loads(w)) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fixed, pa.list_(pa.int64()))], ["host", "fixed"])
 
-    fixed = drawn.groupBy("host").applyInPandas(inferred, "host string, fixed array<long>")
-    return fixed.join(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "host")
+    fixed = written(told.select("host", "wrapper").mapInArrow(brief, "host string, fixed array<long>"), "wrappers")
+    return fixed.join(sizes, "host")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import corpus_pipeline
 import numpy as np
 
-from spanloom.llm import langid
+from spanloom.llm import langid, wrappers
 from spanloom.plans.session import ship
 
 DOCS = "doc_id long, text string, lang string"
@@ -55,3 +55,28 @@ def test_the_stage_links_by_five_words(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert left == {i for i in texts if label[i] == i} and between <= left
+
+
+def test_wrappers_take_all_distinct_pages(spark):
+    ship(spark)
+    page = "<html><body><div>Our site</div><div>{}</div><p>{}</p></body></html>"
+    rows = [(k, "http://copies/", page.format("a", "b")) for k in range(7)]
+    rows += [(100 + k, "http://many/", page.format("Winter" if k % 30 == 29 else "Summer", f"text {k}")) for k in range(90)]
+    rows += [(200 + k, "http://long/", page.format("x", f"text {k} " + "y" * 100_001)) for k in range(3)]
+    rows += [(300 + k, "http://wide/", "<body>" + "".join(f"<p>fixed {i}</p>" for i in range(2100)) + f"<p>text {k}</p></body>") for k in range(2)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in range(7)} == {"Our site\na\nb"}
+    assert all(got[100 + k] == ("Winter" if k % 30 == 29 else "Summer") + f"\ntext {k}" for k in range(90))
+    assert all(got[200 + k] == f"text {k} " + "y" * 100_001 for k in range(3))
+    assert all(got[300 + k] == f"text {k}" for k in range(2))
+
+
+def test_wrappers_of_wrappers_read_their_pages():
+    pages = [f"<body><h1>Site</h1><ul>{'<li>x</li>' * (k % 4 + 1)}</ul>{'<b>new</b>' * (k % 3 == 0)}<p>text {k}</p></body>" for k in range(24)]
+    streams = [wrappers.as_wrapper(wrappers.scan(p)[0]) for p in pages]
+    parts = [wrappers.infer(pages[k : k + 6]) for k in range(0, 24, 6)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = wrappers.generalise(whole, p)
+    assert all(wrappers.reads(whole, s, 0) == len(s) for s in streams)
+    assert len(wrappers.fixed_texts(whole)) == 1
