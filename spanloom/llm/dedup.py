@@ -2,20 +2,21 @@
 
 Documents with equal shingle sets become one class at once. Each class has a MinHash
 signature, and each tree of the forest sorts the classes by its own order of the signature's
-values. Neighbours in a sorted order have the longest common prefix, so they are the first
-candidates: at most two a tree and class, in a region of any density; of these each class
-proposes the few whose signatures are most like its own. What shares a prefix of
-DEPTH values is a region; in regions whose classes are not yet one component, all pairs across
-components that bounds and signatures leave in doubt are looked at as well, in blocks of bounded
-size. So depth adapts where a region is dense and alike, and no pair that shares a region is
-lost where it isn't.
+values. Neighbours in a sorted order have the longest common prefix and are the candidates: at
+most two a tree and class, in a region of any density. What shares a prefix of DEPTH values is
+a region, and depth follows the region: one with more than DENSE classes is sorted again, by as
+many further values as its size asks for. Of its candidates each class proposes the few
+whose signatures are most like its own.
+
+Regions whose classes are not yet one component are joined exactly (:func:`families`): every
+set is told by its difference from what most of its family share, so near copies with few
+changes are linked to one centre by arithmetic, and only sets that differ in the same places
+have to be compared. Links come out, a star and what is left, never the pairs of a family.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.llm.common import lookup, text_of, written
+from spanloom.llm.common import HOT_KEYS, lookup, text_of, written
 from spanloom.llm.components import components
 
 #: Trees, values of a region's prefix, values of a signature. A pair with similarity 0.8 misses all regions with a chance of 3e-6.
@@ -31,8 +32,10 @@ TREES, DEPTH = 24, 4
 SIGNATURE = TREES * DEPTH
 #: Equal values (of SIGNATURE) below which a pair is not looked at: at 0.8 the chance to be below is 1e-8.
 IN_DOUBT = 55
-#: Classes of a block; partners a class proposes in the first pass.
-BLOCK, PROPOSED = 512, 3
+#: Classes of a region from which it is sorted by more values; partners a class proposes in the first pass.
+DENSE, PROPOSED = 8, 3
+#: Families whose common shingles are broadcast: a set each, as long as a document.
+HOT_FAMILIES = 48
 WORD_MEMO = 400_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(11)
@@ -107,6 +110,14 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(sketched, "doc_id long, n long, set_id string, sig binary")
 
 
+def region_of(sig: np.ndarray, tree: int) -> np.ndarray:
+    """The regions of signatures in a tree: a hash of the tree and of the first DEPTH values of its order."""
+    region = np.full(len(sig), tree + 1, np.uint64)
+    for k in range(tree * DEPTH, tree * DEPTH + DEPTH):
+        region = mixed(region * MULTIPLIER + sig[:, k].astype(np.uint64))
+    return region
+
+
 def forest_rows(reps: DataFrame) -> DataFrame:
     """region, deep, id: the place of each class in each tree; deep is the order within a region."""
 
@@ -118,9 +129,7 @@ def forest_rows(reps: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SIGNATURE).astype(np.uint64)
             for tree in range(TREES):
                 order = (np.arange(2 * DEPTH) + tree * DEPTH) % SIGNATURE
-                region = np.full(len(ids), tree + 1, np.uint64)
-                for k in order[:DEPTH]:
-                    region = mixed(region * MULTIPLIER + sig[:, k])
+                region = region_of(sig, tree)
                 deep = np.zeros(len(ids), np.uint64)
                 for k in order[DEPTH:]:
                     deep = deep << np.uint64(16) | (sig[:, k] >> np.uint64(16))
@@ -158,6 +167,32 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(chained, "region long, a long, b long")
 
 
+def deeper(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """region, deep, id of members (region, size, id), sorted by more values the more a region holds.
+
+    Two sets with similarity 0.8 agree in a value with that chance, so among `size` of them the
+    nearest share about log(size) / log(1.25) values beyond the region's; a region gets as many,
+    up to the whole order of its tree.
+    """
+
+    def placed(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            region = batch.column(0).to_numpy(zero_copy_only=False)
+            sizes = batch.column(1).to_numpy(zero_copy_only=False)
+            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+            tree = np.zeros(len(region), np.int64)
+            for t in range(TREES):
+                tree[region_of(sig, t).view(np.int64) == region] = t
+            depth = np.minimum(SIGNATURE - DEPTH, np.ceil(np.log(sizes) / np.log(1.25)).astype(np.int64))
+            deep = [np.roll(s, -(t + 1) * DEPTH)[:d].astype(">u4").tobytes() for s, t, d in zip(sig, tree, depth, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(deep, pa.binary()), batch.column(2)], ["region", "deep", "id"])
+
+    rows = members.join(reps.select("id", "sig"), "id").select("region", "size", "id", "sig")
+    return rows.mapInArrow(placed, "region long, deep binary, id long")
+
+
 def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """a, b, equal: the pairs whose signatures agree in IN_DOUBT values or more, and in how many."""
 
@@ -175,124 +210,104 @@ def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(counted, "a long, b long, equal long")
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
-    """Columns of each run of rows with equal first `keys` columns, across batches."""
-    held: list[list] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [c.to_pylist() for c in batch.columns]
-        marks = list(zip(*cols[:keys], strict=True))
-        at = 0
-        while at < len(marks):
-            stop = at
-            while stop < len(marks) and marks[stop] == marks[at]:
-                stop += 1
-            run = [c[at:stop] for c in cols]
-            if held is not None and tuple(c[0] for c in held[:keys]) == marks[at]:
-                held = [x + y for x, y in zip(held, run, strict=True)]
-            else:
-                if held is not None:
-                    yield held
-                held = run
-            at = stop
-    if held is not None:
-        yield held
-
-
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (gid, a, b) whose full sets are similar enough, as (a, b).
+    """The pairs (a, b) whose full sets are similar enough.
 
-    texts: id, text. The text of a document goes once to each group gid that names it, and its
-    set is taken once there.
+    texts: id, text. The text of b goes to each of its pairs and the pairs of one a follow its
+    own text, so a task holds the set of one a and reads the rest row by row.
     """
-    ends = pairs.select("gid", F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = ends.join(texts, "id").select("gid", F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("b"), "text")
-    rows = rows.unionByName(pairs.select("gid", F.lit(1).alias("kind"), F.col("a").alias("id"), "b", F.lit(None).cast("string").alias("text")))
+    heads = pairs.select("a").distinct().join(texts, F.col("a") == F.col("id")).select("a", F.lit(None).cast("long").alias("b"), "text")
+    rows = heads.unionByName(pairs.join(texts, F.col("b") == F.col("id")).select("a", "b", "text"))
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def checked(batches):
-        for _, kinds, ids, others, texts in grouped(batches, 1):
-            sets = {i: shingles(t, width) for k, i, t in zip(kinds, ids, texts, strict=True) if k == 0}
-            found = [(a, b) for k, a, b in zip(kinds, ids, others, strict=True) if k == 1 and linked(sets[a], sets[b], percent)]
+        head, own = None, None
+        for batch in batches:
+            found = []
+            for a, b, text in zip(*batch.columns, strict=True):
+                a, b = a.as_py(), b.as_py()
+                if b is None:
+                    head, own = a, shingles(text.as_py(), width)
+                elif a == head and linked(own, shingles(text.as_py(), width), percent):
+                    found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.repartition(n, "gid").sortWithinPartitions("gid", "kind").mapInArrow(checked, "a long, b long")
+    return rows.repartition(n, "a").sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(checked, "a long, b long")
 
 
-def own_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """id, own: how many shingles of each text no other text of the table has."""
+def own_texts(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """id, text: for each of reps (id, set_id) a text with that set, of the rows with that id."""
 
-    def exploded(batches):
+    def told(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingles(t, width) for t in part.column(1).to_pylist()]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
-                if len(ids):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(ids, pa.int64())], ["shingle", "id"])
+            fits = [hashlib.md5(shingles(t.as_py(), width).tobytes()).hexdigest() == s.as_py() for t, s in zip(batch.column(1), batch.column(2), strict=True)]
+            yield batch.select(["id", "text"]).filter(pa.array(fits, pa.bool_()))
+
+    found = docs.join(reps.select("id", "set_id"), F.col("doc_id") == F.col("id")).select("id", "text", "set_id")
+    return found.mapInArrow(told, "id long, text string").dropDuplicates(["id"])
 
-    rows = texts.select("id", "text").mapInArrow(exploded, "shingle long, id long")
-    once = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
-    return once.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
+def sets_of(rows: DataFrame, width: int) -> DataFrame:
+    """rows (family, size, component, id, text) with n and items, the shingles, instead of the text."""
 
-def in_doubt(members: DataFrame, percent: int) -> DataFrame:
-    """gid, a, b: pairs across components in regions that hold several, each pair in one region only.
+    def listed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingles(t.as_py(), width).view(np.int64) for t in part.column(4)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["family", "size", "component", "id", "n", "items"])
 
-    members: region, size (of the region), id, component, n, own, sig; own shingles are in no other document that
-    shares a region, so a pair has at most as many in common as the smaller rest. That bound,
-    which is exact, sets apart copies with changes of their own. A region is cut into blocks and
-    each pair of blocks is a group; a pair goes to the first tree in which it meets.
+    return rows.select("family", "size", "component", "id", "text").mapInArrow(listed, "family long, size long, component long, id long, n long, items array<long>")
+
+
+def families(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that make every two linked sets of a family one component, exactly.
+
+    members: family, size, component, id. The core of a family is what more than half of its
+    sets hold, and D(a) the shingles in which a differs from the core. As
+    |a ^ b| = |D(a) ^ D(b)|, sets a and b are linked if and only if
+
+        slack(a) + slack(b) + 2 * (100 + percent) * |D(a) & D(b)| >= 0,
+        slack(a) = (100 - percent) * |a| - (100 + percent) * |D(a)|.
+
+    A pair that is linked without the last term is linked, as both are, to the set of the
+    family with the most slack: those links are a star. Any other pair has a set outside the
+    star and shares differences, which are indexed by their rarest (prefix filter): a set that
+    needs k shared differences and has r that another set has too is looked up by the r-k+1
+    rarest of them. The shared differences alone then tell the pairs.
     """
-    rows = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.select("region", "id", "component", "n", F.col("own").alias("alone"), "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "alone", "sig")
-    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def crossed(batches):
-        for region, i, j, own, ids, comps, sizes, alone, sigs in grouped(batches, 3):
-            ids, comps, sizes, own = np.array(ids), np.array(comps), np.array(sizes), np.array(own)
-            rest = sizes - np.array(alone)
-            if (comps == comps[0]).all() or not (100 * rest >= percent * sizes).any():
-                continue
-            sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, SIGNATURE)
-            tree = None
-            out = []
-            for at in range(len(ids)):
-                if 100 * rest[at] < percent * sizes[at]:
-                    continue
-                shared = np.minimum(rest, rest[at])
-                to = np.flatnonzero((comps != comps[at]) & (ids > ids[at]) & (100 * shared >= percent * (sizes + sizes[at] - shared)) & ((i[0] == j[0]) | (own != own[at])))
-                if not len(to):
-                    continue
-                equal = sig[to] == sig[at]
-                likely = equal.sum(1) >= IN_DOUBT
-                if not likely.any():
-                    continue
-                to, equal = to[likely], equal[likely]
-                if tree is None:
-                    tree = _tree_of(region[0], sig[at])
-                first = equal.reshape(-1, TREES, DEPTH).all(2).argmax(1)
-                out += [(int(ids[at]), int(ids[k])) for k, t in zip(to, first, strict=True) if t == tree]
-            if out:
-                gid = xxhash.xxh3_64_intdigest(f"{region[0]}:{i[0]}:{j[0]}") >> 1
-                yield pa.RecordBatch.from_arrays([pa.array([gid] * len(out), pa.int64()), *(pa.array([x[c] for x in out], pa.int64()) for c in (0, 1))], ["gid", "a", "b"])
-
-    return rows.repartition(tasks, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(crossed, "gid long, a long, b long")
-
-
-def _tree_of(region: int, sig: np.ndarray) -> int:
-    """The tree that a region belongs to, told from the signature of a member."""
-    values = sig.astype(np.uint64)
-    for tree in range(TREES):
-        h = np.full(1, tree + 1, np.uint64)
-        for k in range(tree * DEPTH, tree * DEPTH + DEPTH):
-            h = mixed(h * MULTIPLIER + values[k : k + 1])
-        if int(h.view(np.int64)[0]) == region:
-            return tree
-    raise ValueError("a member without its region")
+    gain = 2 * (100 + percent)
+    sets = written(sets_of(members.join(texts, "id"), width), "sets")
+    counts = written(sets.select("family", "size", F.explode("items").alias("item")).groupBy("family", "item").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("size")).where("c > 1"), "counts")
+    cores = counts.where("2 * c > size").groupBy("family").agg(F.collect_list("item").alias("core"), F.max("size").alias("size"))
+    keyed = sets.withColumn("key", F.col("family").cast("string"))
+    told = lookup(keyed, cores.select(F.col("family").cast("string").alias("key"), "core", "size"), "key", ["core"], "size", F.concat(F.lit("#"), F.col("id").cast("string")), HOT_FAMILIES)
+    core = F.coalesce("core", F.array().cast("array<long>"))
+    differ = told.select("family", "component", "id", "n", F.concat(F.array_except("items", core), F.array_except(core, "items")).alias("differ"))
+    differ = differ.withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * F.size("differ"))
+    differ = written(differ, "differences")
+
+    best = differ.groupBy("family").agg(F.max(F.struct("slack", "id")).alias("best"), F.count(F.lit(1)).alias("size")).select(F.col("family").cast("string").alias("key"), F.col("best.slack").alias("most"), F.col("best.id").alias("centre"), "size")
+    slim = differ.select("family", "component", "id", "slack", F.col("family").cast("string").alias("key"))
+    slim = written(lookup(slim, best, "key", ["most", "centre"], "size", F.concat(F.lit("#"), F.col("id").cast("string"))).drop("key"), "slack")
+    star = slim.where("slack + most >= 0 AND id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+
+    shared = counts.withColumn("rare", F.when(2 * F.col("c") > F.col("size"), F.col("size") - F.col("c")).otherwise(F.col("c"))).where("rare > 1").select("family", "item", "rare")
+    hot = shared.orderBy(F.desc("rare"), "family", "item").limit(HOT_KEYS).select("family", "item", F.col("rare").alias("often"))
+    each = differ.select("family", "id", F.explode("differ").alias("item")).join(F.broadcast(hot), ["family", "item"], "left")
+    common = each.where("often IS NOT NULL").select("id", F.col("often").alias("rare"), "item")
+    common = common.unionByName(each.where("often IS NULL").join(shared, ["family", "item"]).select("id", "rare", "item"))
+    rest = common.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rare", "item"))).alias("rest"))
+    rest = slim.join(rest, "id").withColumn("r", F.size("rest")).withColumn("out", F.col("slack") + F.col("most") < 0)
+    least = F.when(F.col("out"), F.ceil(-(F.col("slack") + F.col("most")) / gain)).otherwise(F.floor((F.col("most") - F.col("slack")) / gain) + 1).cast("int")
+    rest = written(rest.withColumn("least", least).where("least <= r").withColumn("rest", F.col("rest.item")).drop("most", "centre"), "rest")
+    index = rest.select("family", "component", "id", "slack", "r", "out", F.explode(F.slice("rest", 1, F.col("r") - F.col("least") + 1)).alias("item"))
+    x, y = index.where("out").alias("x"), index.alias("y")
+    may = (F.col("x.slack") + F.col("y.slack") + gain * F.least("x.r", "y.r") >= 0) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | (F.col("x.id") < F.col("y.id")))
+    pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.item") == F.col("y.item")) & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (F.col("x.slack") + F.col("y.slack")).alias("slack")).distinct()
+    own = rest.select("id", "rest")
+    both = pairs.join(own.toDF("a", "_x"), "a").join(own.toDF("b", "_y"), "b")
+    return star.unionByName(both.where(F.col("slack") + gain * F.size(F.array_intersect("_x", "_y")) >= 0).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -302,7 +317,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     their union; component_id is the smallest doc_id reachable, and kept marks its document.
     A text that is null or without words has no shingles, is linked with nothing and kept.
     Rows with a null doc_id are linked with nothing, have a null component_id and are kept.
-    Repeated rows give repeated rows. An empty table gives an empty one.
+    Repeated rows give repeated rows. Rows that repeat a doc_id with different texts go by their
+    own texts; where the same doc_id is the smallest of two sets, these are one class, and the
+    set with the smaller digest is compared with others. Ties of likeness go to the smaller
+    doc_id. Texts of any length are read whole, a row at a time. Other columns, whatever their
+    names, are ignored. An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     sketched = written(sketch(docs, width), "sketches")
@@ -311,33 +330,36 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     classed = lookup(sketched, classes, "set_id", ["rep"], "copies", spread)
     own = F.col("doc_id") == F.col("rep")
     rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
-    classed = written(classed.select("doc_id", "n", rep.alias("rep"), F.when(own, F.col("sig")).alias("sig")), "classes")
-    reps = classed.where("sig IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "sig")
+    classed = written(classed.select("doc_id", "n", rep.alias("rep"), *[F.when(own, F.col(c)).alias(c) for c in ("set_id", "sig")]), "classes")
+    reps = written(classed.where("sig IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("set_id", "sig")).alias("own")).select("id", "own.*"), "signatures")
 
     near = written(neighbours(forest_rows(reps)), "neighbours")
-    met = near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = near.select("region", F.explode(F.array("a", "b")).alias("id")).distinct()
+    members = written(members.withColumn("key", F.col("region").cast("string")), "members")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
+    spread = F.concat(F.lit("#"), F.col("id").cast("string"))
+    members = written(lookup(members, sizes.where("size > 1"), "key", ["size", "first"], "size", spread).where("size > 1"), "regions")
+    more = neighbours(deeper(members.where(F.col("size") > DENSE), reps))
+    met = near.unionByName(more).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     scored = alike(met, reps)
     ends = scored.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("e"), "a", "b", "equal")
     nth = F.row_number().over(Window.partitionBy("e.id").orderBy(F.desc("equal"), "e.to"))
-    proposed = written(ends.withColumn("nth", nth).where(F.col("nth") <= PROPOSED).select(F.col("a").alias("gid"), "a", "b").distinct(), "proposed")
-    met_ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(docs.join(met_ids, docs["doc_id"] == met_ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
-    links = written(confirm(proposed, texts, width, percent), "links")
-    label = components(links)
-
-    members = written(near.select("region", F.explode(F.array("a", "b")).alias("id")).distinct().join(label, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component")), "members")
-    keyed = members.withColumn("key", F.col("region").cast("string"))
-    regions = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-    rest = lookup(keyed, regions, "key", ["low", "high", "size"], "size", F.concat(F.lit("#"), F.col("id").cast("string")))
-    rest = written(rest.where("low < high").select("region", "size", "id", "component"), "several")
-    alone = own_shingles(texts.join(rest.select("id").distinct(), "id", "left_semi"), width)
-    rest = rest.join(reps.dropDuplicates(["id"]).join(alone, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))), "id")
-    doubtful = written(in_doubt(rest, percent).join(proposed.select("a", "b"), ["a", "b"], "left_anti"), "in-doubt")
-    more = confirm(doubtful.select("gid", "a", "b"), texts, width, percent)
+    proposed = written(ends.withColumn("nth", nth).where(F.col("nth") <= PROPOSED).select("a", "b").distinct(), "proposed")
+    texts = written(own_texts(docs, reps.join(members.select("id").distinct(), "id"), width), "texts")
+    label = components(confirm(proposed, texts, width, percent))
+
+    labelled = members.join(label, "id", "left").select("key", "first", "size", "id", F.coalesce("component", "id").alias("component"))
+    labelled = written(labelled, "labelled")
+    mixed_up = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size")).where("low < high")
+    several = written(lookup(labelled.drop("size"), mixed_up, "key", ["low", "size"], "size", spread).where("low IS NOT NULL"), "several")
+    family = components(several.select(F.col("first").alias("a"), F.col("id").alias("b"))).select("id", F.col("component").alias("family"))
+    family = written(several.select("id", "component").distinct().join(family, "id").withColumn("key", F.col("family").cast("string")), "families")
+    family = lookup(family, family.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key", ["size"], "size", spread)
+    links = families(family.select("family", "size", "component", "id"), texts, width, percent)
     to = label.select(F.col("id").alias("_id"), "component")
     for end in ("a", "b"):
-        more = more.join(to, F.col(end) == F.col("_id"), "left").withColumn(end, F.coalesce("component", end)).drop("_id", "component")
-    merged = components(more)
+        links = links.join(to, F.col(end) == F.col("_id"), "left").withColumn(end, F.coalesce("component", end)).drop("_id", "component")
+    merged = components(links)
     joined = label.join(merged.select(F.col("id").alias("component"), F.col("component").alias("_top")), "component", "left").select("id", F.coalesce("_top", "component").alias("top"))
     alone = merged.join(label, "id", "left_anti").select("id", F.col("component").alias("top"))
     tops = written(joined.unionByName(alone), "tops")

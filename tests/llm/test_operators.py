@@ -95,6 +95,44 @@ def test_near_duplicates_in_dense_regions(spark, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+def family_texts(seed, n, words=60, edits=9, fresh=200):
+    """Copies of three bases that share a passage, with few to many words changed, some in the same places."""
+    rng = random.Random(seed)
+    shared = prose(rng, 15).split()
+    bases = [shared + [f"{w}{b}" for w in prose(rng, words - 15).split()] for b in range(3)]
+    texts = {}
+    for k in range(n):
+        copy = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 2, 3, rng.randint(0, edits)])):
+            copy[rng.choice([rng.randrange(len(copy)), 3, 20, 41])] = f"x{rng.randrange(fresh)}"
+        texts[k * 3 - 50] = " ".join(copy[: rng.randint(words - 8, words)])
+    return texts
+
+
+@pytest.mark.parametrize(("seed", "fresh"), [(1, 3), (2, 40), (3, 100_000)])
+def test_families_alone_find_every_component(spark, monkeypatch, seed, fresh):
+    monkeypatch.setattr(dedup, "PROPOSED", 0)
+    texts = family_texts(seed, 150, fresh=fresh)
+    want, _ = brute_components(texts)
+    got = by_id(dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert {i: r.component_id for i, r in got.items()} == want
+
+
+def test_regions_are_sorted_deeper_the_more_they_hold(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "families", lambda members, *_: members.selectExpr("id AS a", "id AS b"))
+    texts = family_texts(4, 200, fresh=40)
+    want, _ = brute_components(texts)
+    got = by_id(dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    links = sum(got[i].component_id == c for i, c in want.items())
+    assert links > 150 and all(r.component_id >= want[i] for i, r in got.items())
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    rows = [(5, "a b c d e f g"), (5, "t u v w x y z"), (7, "t u v w x y z"), (8, "a b c d e f g"), (9, "q r s t")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 4, 5), (5, 4, 5), (7, 4, 5), (8, 4, 5), (9, 1, 9)]
+
+
 def test_near_duplicates_of_odd_rows(spark, empty):
     assert dedup.near_duplicates(empty).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (4, None)], "doc_id long, text string")
