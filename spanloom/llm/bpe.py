@@ -74,9 +74,9 @@ class Encoder:
         self.library.no_padding()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words = Memo(merged(self.library.model), 500_000)
-        self.chunks: dict[str, tuple] = {}
         size = self.library.get_vocab_size(with_added_tokens=True)
+        self.words = Memo(merged(self.library.model, size), 250_000)
+        self.chunks: dict[str, tuple] = {}
         plain = {c: b for b, c in byte_letters().items()}
         names = [self.library.id_to_token(i) or "" for i in range(size)]
         marks = set(self.special.values())

@@ -4,36 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
+#: Characters of a piece that a memo keeps.
+LONGEST = 128
 
 
 class Memo(dict):
-    """str -> bytes for at most `most` entries; a miss in a list is filled for all at once.
+    """str -> bytes for pieces of at most LONGEST characters, in two halves of at most `most` entries.
 
-    When it is full the memo starts anew: its size is bounded and its results never depend on
-    what it holds.
+    A full half becomes the old one and gives back what is asked for again, so frequent pieces
+    stay. Longer pieces are worked out each time: the memo's size is bounded in bytes, and
+    results never depend on what it holds.
     """
 
-    def __init__(self, fill: Callable[[list[str]], list[bytes]], most: int = 400_000):
+    def __init__(self, fill: Callable[[str], bytes], most: int = 300_000):
         super().__init__()
         self.fill, self.most = fill, most
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONGEST:
+            return self.fill(piece)
+        value = self.old.get(piece)
+        if value is None:
+            value = self.fill(piece)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
+        return value
 
     def join(self, pieces: list[str]) -> bytes:
         """The values of all pieces, one after another."""
-        try:
-            return b"".join(map(self.__getitem__, pieces))
-        except KeyError:
-            self.learn(pieces)
-            return b"".join(map(self.__getitem__, pieces))
-
-    def learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self]
-        if not new:
-            return
-        if len(self) + len(new) > self.most and len(self) > 0:
-            self.clear()
-            new = list(dict.fromkeys(pieces))
-        self.update(zip(new, self.fill(new), strict=True))
+        return b"".join(map(self.__getitem__, pieces))
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,10 +48,13 @@ def byte_letters() -> dict[int, str]:
 LETTERS = str.maketrans(byte_letters())
 
 
-def merged(model) -> Callable[[list[str]], list[bytes]]:
-    """Ids, as little-endian 32-bit numbers, of single pre-tokens, by the library's merges alone."""
+def merged(model, size: int) -> Callable[[str], bytes]:
+    """Ids (below size), as little-endian 32-bit numbers, of a single pre-token, by the library's merges alone."""
+    packed = [i.to_bytes(4, "little") for i in range(size)]
 
-    def fill(words: list[str]) -> list[bytes]:
-        return [np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(LETTERS))], "<u4").tobytes() for w in words]
+    def fill(word: str) -> bytes:
+        if not (word.isascii() and word.isalnum()):
+            word = word.encode().decode("latin-1").translate(LETTERS)
+        return b"".join([packed[t.id] for t in model.tokenize(word)])
 
     return fill

@@ -11,13 +11,17 @@ all pieces have is not sorted in one task.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +33,8 @@ CAPACITY = 4096
 SEPARATOR = 1
 #: Pieces of one length that are ranked together.
 RANKED = 2_000
-#: Bounds of the search beyond the best-fit solution: lengths looked at over all nodes, fillings tried at a node, pieces in a filling.
-LENGTHS, FILLINGS, DEEP = 200_000, 24, 4
+#: Bound of the search beyond the best-fit solution: lengths and fillings looked at over all nodes.
+LENGTHS = 200_000
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -92,40 +96,48 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return int((number[-1] - number[half + 1] + np.maximum(0, -(-(small - free) // capacity))).max())
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int) -> list[tuple[int, ...]]:
-    """Undominated sets of at most DEEP lengths that fit into room, least waste first.
+def fillings(sizes: list[int], counts: dict[int, int], room: int) -> Iterator[tuple[int, ...] | None]:
+    """Undominated sets of pieces that fit into room, least waste first, as they are asked for.
 
-    A set is dominated if another can hold its pieces one by one or two in one. Sizes are
-    tried in falling order and a set is only kept if no further piece fits it, unless it has
-    DEEP pieces already.
+    None stands for a dominated one, so that who asks can stop.
+
+    A set is dominated if another can hold its pieces one by one or several in one. `within[k]`
+    has a bit for every sum that the sizes from the k-th on can have, so for each waste in
+    turn only sets with just that sum are built, large pieces first: what is dominated comes
+    after what dominates it.
     """
-    found: list[tuple[int, ...]] = []
-
-    def grow(at: int, left: int, held: tuple[int, ...]) -> None:
-        if len(found) >= FILLINGS * 8:
-            return
-        more = False
-        if len(held) < DEEP:
-            for k in range(bisect_left(order, -left, at), len(order)):
-                size = -order[k]
-                if held.count(size) < counts[size]:
-                    more = True
-                    grow(k, left - size, (*held, size))
-                    if left == size or len(found) >= FILLINGS * 8:
-                        break
-        if not more:
-            found.append(held)
-
-    order = [-s for s in sizes]
-    grow(0, room, ())
-    found = sorted(set(found), key=lambda f: (room - sum(f), len(f)))
+    order = sorted((s for s in sizes if s <= room), reverse=True)
+    full = (1 << (room + 1)) - 1
+    within = [1] * (len(order) + 1)
+    for k in range(len(order) - 1, -1, -1):
+        sums, step = within[k + 1], order[k]
+        most = min(counts[order[k]], room // step)
+        taken = 1
+        while taken <= most:
+            n = min(taken, most - taken + 1)
+            sums |= (sums << (step * n)) & full
+            taken += n
+        within[k] = sums
     kept: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(dominates(g, f) for g in kept):
-            kept.append(f)
-        if len(kept) == FILLINGS:
-            break
-    return kept
+    for waste in range(room + 1):
+        if not within[0] >> (room - waste) & 1:
+            continue
+        stack = [(0, room - waste, ())]
+        while stack:
+            k, left, held = stack.pop()
+            if not left:
+                if any(dominates(g, held) for g in kept):
+                    yield None
+                else:
+                    kept.append(held)
+                    yield held
+                continue
+            while k < len(order) and order[k] > left:
+                k += 1
+            if k == len(order) or not within[k] >> left & 1:
+                continue
+            for n in range(min(counts[order[k]], left // order[k]) + 1):
+                stack.append((k + 1, left - n * order[k], held + (order[k],) * n))
 
 
 def dominates(wide: tuple[int, ...], narrow: tuple[int, ...]) -> bool:
@@ -139,62 +151,86 @@ def dominates(wide: tuple[int, ...], narrow: tuple[int, ...]) -> bool:
     return True
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, lengths: int = LENGTHS) -> dict[Pattern, int]:
-    """Patterns and how often each is used, in as few sequences as the search can reach.
+@dataclass(frozen=True)
+class Packing:
+    """Patterns and how often each is used; the bound from below; what ended the search."""
+
+    patterns: dict[Pattern, int]
+    sequences: int
+    bound: int
+    ended: str
+
+
+def summed(runs: list[tuple[Pattern, int]]) -> dict[Pattern, int]:
+    out: Counter = Counter()
+    for pattern, n in runs:
+        out[pattern] += n
+    return dict(out)
+
+
+def search(counts: dict[int, int], capacity: int = CAPACITY, lengths: int = LENGTHS) -> Packing:
+    """The packing with as few sequences as the search can reach.
 
     Branch and bound by bin completion: the largest length left is completed by each
     undominated filling in turn, a filling used as often as the counts allow or once; a
     branch is cut once its waste shows that it cannot beat the incumbent. The incumbent is
-    the best-fit solution first, and the best-fit solution of what is left at each node. The
-    search ends when an incumbent meets the lower bound, or once its nodes have looked at
-    `lengths` lengths: the packing is optimal in the first case, and no worse than best fit.
+    the best-fit solution first, and the best-fit solution of what is left at each node.
+    `ended` says "bound" if an incumbent met the lower bound, "searched" if nothing was left to
+    try (both are optimal), and "budget" if the nodes have looked at `lengths` lengths and
+    fillings: the packing is then no worse than best fit, and `bound` tells the gap.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
-        return {}
+        return Packing({}, 0, 0, "bound")
     best = best_fit(counts, capacity)
     used, floor = sum(best.values()), lower_bound(counts, capacity)
     total = sum(s * n for s, n in counts.items())
     visited = 0
 
-    def visit(left: dict[int, int], done: list[tuple[Pattern, int]], waste: int) -> None:
-        nonlocal best, used, visited
-        visited += len(left) + 20
-        bins = sum(n for _, n in done)
-        if not left:
-            if bins < used:
-                best, used = dict(sum((Counter({p: n}) for p, n in done), Counter())), bins
-            return
-        rest = best_fit(left, capacity)
-        if bins + sum(rest.values()) < used:
-            best = dict(sum((Counter({p: n}) for p, n in [*done, *rest.items()]), Counter()))
-            used = bins + sum(rest.values())
-        allowed = (used - 1) * capacity - total
-        if used == floor or bins + lower_bound(left, capacity) >= used:
-            return
+    def children(left: dict[int, int], done: list[tuple[Pattern, int]], bins: int, waste: int) -> Iterator[tuple]:
+        nonlocal visited
         top = max(left)
         after = dict(left)
         after[top] -= 1
         if not after[top]:
             del after[top]
-        for f in fillings(sorted(after, reverse=True), after, capacity - top):
+        for f in fillings(list(after), after, capacity - top):
+            visited += 1 + len(f or ())
+            if visited >= lengths:
+                return
+            if f is None:
+                continue
             need = Counter((top, *f))
             most = min(left[s] // n for s, n in need.items())
             loss = capacity - top - sum(f)
+            if waste + loss > (used - 1) * capacity - total:
+                return  # fillings come by waste, so no later one can do
             for times in dict.fromkeys((most, 1)):
-                if visited >= lengths or used == floor:
-                    return
-                if waste + loss * times > allowed:
-                    continue
-                then = {s: n - need.get(s, 0) * times for s, n in left.items()}
-                visit({s: n for s, n in then.items() if n}, [*done, (tuple(need.items()), times)], waste + loss * times)
+                if waste + loss * times <= (used - 1) * capacity - total:
+                    then = {s: n - need.get(s, 0) * times for s, n in left.items()}
+                    yield {s: n for s, n in then.items() if n}, [*done, (tuple(need.items()), times)], bins + times, waste + loss * times
+
+    stack = [iter([(counts, [], 0, 0)])] if used > floor else []
+    while stack and used > floor:
+        if visited >= lengths:
+            return Packing(best, used, floor, "budget")
+        node = next(stack[-1], None)
+        if node is None:
+            stack.pop()
+            continue
+        left, done, bins, _ = node
+        visited += len(left) + 20
+        rest = best_fit(left, capacity)
+        if bins + sum(rest.values()) < used:
+            best, used = summed([*done, *rest.items()]), bins + sum(rest.values())
+        if left and bins + lower_bound(left, capacity) < used:
+            stack.append(children(*node))
+    return Packing(best, used, floor, "bound" if used == floor else "searched")
 
-    if used > floor:
-        try:
-            visit(counts, [], 0)
-        except RecursionError:  # the incumbent stands
-            pass
-    return best
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, lengths: int = LENGTHS) -> dict[Pattern, int]:
+    """Patterns and how often each is used: :func:`search` without its report."""
+    return search(counts, capacity, lengths).patterns
 
 
 def places(patterns: dict[Pattern, int]) -> dict[str, np.ndarray]:
@@ -215,9 +251,9 @@ class WordIds:
     """Ids of whole texts under a vocabulary that folds case and drops white space.
 
     White space separates before anything is merged, so the ids of a text are those of its
-    parts between blanks and line ends, which a memo keeps. A part of Latin letters alone, or
-    followed by a full stop or comma, takes its ids from the merges of its folded letters;
-    any other part goes through the library as it is.
+    parts between blanks and line ends, which a memo keeps. A part of printable ASCII and Latin
+    letters is folded and cut into pre-tokens by the tokenizer's own pattern, and takes its ids
+    from their merges; any other part goes through the library as it is.
     """
 
     def __init__(self, path: str):
@@ -227,43 +263,76 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.letters = Memo(merged(self.library.model), 600_000)
-        self.parts = Memo(self.learn, 300_000)
-        self.marks = {m: self.encode([m])[0] for m in ".,"} | {"": b""}
-
-    def encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(parts, add_special_tokens=False)]
-
-    def learn(self, parts: list[str]) -> list[bytes]:
-        cores, tails, odd = [], [], []
-        for p in parts:
-            mark = p[-1:] if p[-1:] in (".", ",") else ""
-            core = p[: len(p) - len(mark)]
-            if latin(core):
-                core = core.lower()
-                cores.append(core)
-                tails.append(mark)
-            else:
-                cores.append(None)
-                tails.append("")
-                odd.append(p)
-        self.letters.learn([c for c in cores if c is not None])
-        rest = iter(self.encode(odd) if odd else [])
-        return [next(rest) if c is None else self.letters[c] + self.marks[t] for c, t in zip(cores, tails, strict=True)]
-
-    def ids(self, text: str) -> bytes:
-        if text.isascii():
-            text = text.lower()
-        return self.parts.join(text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" "))
-
-
-#: Letters of the Latin blocks that fold to one letter each: all but the dotted I.
-_LATIN = {i for i in range(0x41, 0x250) if chr(i).isalpha() and i != 0x130}
-
-
-def latin(core: str) -> bool:
-    """Whether core is Latin letters only, so that it is one pre-token whatever its case."""
-    return core.isalpha() and (core.isascii() or _LATIN.issuperset(map(ord, core)))
+        self.merge = merged(self.library.model, self.library.get_vocab_size(with_added_tokens=True))
+        self.parts = Memo(self.learn)
+
+    def learn(self, part: str) -> bytes:
+        core, mark = (part[:-1], part[-1]) if part[-1:] in (".", ",") else (part, "")
+        if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core)):
+            return self.parts[core] + self.merge(mark) if mark else self.merge(core.lower())
+        if PLAIN.fullmatch(part) and MARK not in part:
+            return b"".join(map(self.merge, WORDS.findall(part.lower())))
+        return np.array(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. Parts are told apart for many texts at once, each text in segments of bounded size."""
+        held: list[str] = []
+        owners: list[int] = []
+        size, last = 0, -1
+        left: list[np.ndarray] = []
+        for n, text in enumerate([*texts, None]):
+            for segment in segments(text) if text is not None else [None]:
+                if held and (segment is None or size + len(segment) > SEGMENT):
+                    for k, found in zip(owners, self.of(held), strict=True):
+                        if left and k != last:
+                            yield np.concatenate(left)
+                            left = []
+                        left.append(found)
+                        last = k
+                    held, owners, size = [], [], 0
+                if segment is not None:
+                    held.append(folded(segment))
+                    owners.append(n)
+                    size += len(segment)
+        if left:
+            yield np.concatenate(left)
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        words = parts.flatten().dictionary_encode()
+        known = list(map(self.parts.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        codes = words.indices.to_numpy()
+        raw = b"".join(map(known.__getitem__, codes.tolist()))
+        each = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at = np.concatenate([[0], np.cumsum(each[codes])])[parts.offsets.to_numpy()].tolist()
+        return [np.frombuffer(raw, "<u4", j - i, i * 4) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def folded(text: str) -> str:
+    """text with blanks for line ends and tabs, in lower case where that is safe ahead of the library."""
+    if (text.isascii() or ODD.search(text) is None) and MARK not in text:
+        text = text.lower()
+    return text.replace("\n", " ").replace("\r", " ").replace("\t", " ")
+
+
+def segments(text: str) -> Iterator[str]:
+    """text in runs of about SEGMENT characters, cut before blanks alone."""
+    at = 0
+    while len(text) - at > SEGMENT and (cut := text.find(" ", at + SEGMENT)) >= 0:
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
+#: Characters that are taken apart at once.
+SEGMENT = 1 << 21
+#: The pattern of the tokenizer's pre-tokenizer (a fixed value).
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: How the tokenizer's special tokens begin: they are matched before case is folded.
+MARK = "<|"
+#: Printable ASCII and Latin letters that fold to one letter each, all but the dotted I; and what may not be folded ahead.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+ODD = re.compile("[^\0-\u012f\u0131-\u024f\u2010-\u2027]")
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -276,13 +345,12 @@ def word_ids(path: str) -> WordIds:
     return _ENCODERS[path]
 
 
-def pieces_of(text: str, tool: WordIds, capacity: int) -> Iterator[tuple[int, int, int, int]]:
+def pieces_of(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document: its ids and the separator, cut only if too long."""
-    ids = tool.ids(text) + SEPARATOR.to_bytes(4, "little")
-    n = len(ids) // 4
-    for piece, start in enumerate(range(0, n, capacity)):
-        part = ids[start * 4 : (start + capacity) * 4]
-        yield piece, start, len(part) // 4, zlib.crc32(part)
+    whole = np.append(ids, np.array([SEPARATOR], "<u4"))
+    for piece, start in enumerate(range(0, len(whole), capacity)):
+        part = whole[start : start + capacity]
+        yield piece, start, len(part), zlib.crc32(part)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -291,22 +359,26 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
     def cut(batches):
         tool = word_ids(tokenizer)
         for batch in batches:
-            rows = [(doc, *p) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in pieces_of(text, tool, capacity)]
-            kinds = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rows = [(doc, *p) for doc, ids in zip(part.column(0).to_pylist(), tool.ids(part.column(1).to_pylist()), strict=True) for p in pieces_of(ids, capacity)]
+                kinds = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (any columns, with length from 1 to capacity) with sequence_id and offset.
+    """pieces (any columns, with length from 1 to capacity) with sequence_id and offset, and of
+    the whole packing n_sequences, least_sequences (the bound from below) and search_end.
 
     pieces has to give the same rows each time it is read, as a written table does. Two narrow
     shuffles: one for the counts, one by (length, group) for the ranks.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    found = places(solve(counts, capacity))
+    packing = search(counts, capacity)
+    found = places(packing.patterns)
     groups = max(1, -(-max(counts.values(), default=1) // RANKED))
     columns = pieces.columns
     others = [c for c in columns if c != "length"]
@@ -330,13 +402,16 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             cols = [*batch.columns[:-1], pa.array(found["sequence"][at] + nth), pa.array(found["offset"][at] + inner * length)]
             yield pa.RecordBatch.from_arrays(cols, [*columns, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(deal, schema)
+    told = ranked.mapInArrow(deal, schema)
+    return told.select("*", F.lit(packing.sequences).cast("long").alias("n_sequences"), F.lit(packing.bound).cast("long").alias("least_sequences"), F.lit(packing.ended).alias("search_end"))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all documents.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all documents, and how the search ended.
 
-    A null text is empty and takes one token, the separator. Repeated rows each get places of
-    their own; an empty table gives no rows; other columns of docs are ignored.
+    A null text is empty and takes one token, the separator; a text of any length is cut only
+    where a sequence ends. Repeated rows each get places of their own, and ties of length are
+    dealt by the other columns; an empty table gives no rows; other columns of docs, whatever
+    their names, are ignored.
     """
     return pack_pieces(written(tokenize(docs, tokenizer, capacity), "pieces"), capacity)
