@@ -2,22 +2,26 @@
 
 A wrapper is a union-free regular expression over the tokens of a host's pages: tags, fixed
 texts, text slots, optional groups and repeated groups. It is inferred from all distinct pages
-of the host, small groups of pages first and then their wrappers, in a tree: where a page and the wrapper differ in a text, the text becomes a
-slot; where they differ in tags, a run that repeats what stands before it becomes a repeated
-group, and what only one side has becomes optional. Texts that stay fixed are the host's own.
-
-A page's main text is what its article holds - or its body, where no element says what the
-article is - without elements that are menus, notices and the like by name, and, outside an
-article, without the host's fixed texts.
+of the host, small groups of pages first and then their wrappers, in a tree: where a page and
+the wrapper differ in a text, the text becomes a slot; where they differ in tags, a run that
+repeats what stands before it becomes a repeated group, and what only one side has becomes
+optional.
+
+The wrapper decides what is main text (:class:`Guide`). Of the containers that every page
+of the host has, the content is the innermost that still holds most of the text outside links;
+in it, texts that the wrapper holds fixed are the host's own and go, and so do elements that
+are notices, adverts and the like by name if they stand in the same place of several pages.
+Where a host has a single distinct page there is nothing to compare, and the names of elements
+decide alone: the article or main element, or the body, without what menus and the like are called.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import pickle
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -32,9 +36,12 @@ from spanloom.llm.common import lookup, text_of, written
 
 #: Pages that make a first wrapper, wrappers that are merged at once, tokens looked ahead for a group.
 PAGES, MERGED, AHEAD = 32, 8, 200
+#: The share of a host's text that its content holds, and the share of the content that fixed texts may have.
+HELD, OWN = 0.75, 0.25
 TOKEN = re.compile(r"""(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 ATTRIBUTE = re.compile(r"""(?s)\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+NUMBER = re.compile(r"[0-9]+")
 #: Elements whose content is no markup, elements without content, and elements that begin a block.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -47,57 +54,93 @@ NO_WORD = set(
 )
 NO_WORD_OUTSIDE = {"header", "masthead", "toolbar", "topbar"}
 CONTENT = {"article", "main"}
+ARTICLE = r"(article|main)(?![a-z0-9-])"
+#: Elements that can hold a page's content.
+CONTAINERS = CONTENT | {"body", "div", "section", "table", "tbody", "tr", "td", "center"}
 
 
 @dataclass
 class Node:
-    """An open element: its tag, its name in paths, whether it is dropped, and its article."""
+    """An open element: its tag, path, nearest container (its place in the tree of containers, and what it holds so far) and article; whether it is dropped, whose name is doubtful, and whether it is in a link."""
 
     tag: str
     path: str
-    dropped: bool
+    box: str
+    inner: dict[str, int]
     content: str
+    dropped: bool
+    named: str
+    link: bool
 
 
 @dataclass
 class Block:
     """A run of text without a block edge in it: where it stands and what it says."""
 
-    path: str
+    box: str
     content: str
     dropped: bool
+    named: str
     parts: list[str] = field(default_factory=list)
 
 
+@dataclass
+class Page:
+    """A page as it is read: tokens for the inference - (tag or "", path or text) -, blocks, text outside links by container, and elements with a doubtful name."""
+
+    tokens: list[tuple[str, str]] = field(default_factory=list)
+    blocks: list[Block] = field(default_factory=list)
+    weights: dict[str, int] = field(default_factory=dict)
+    named: set[str] = field(default_factory=set)
+
+
+@dataclass(frozen=True)
+class Guide:
+    """What a host's wrapper says: the place of its content ("": none) and how many containers of that name stand side by side there, hashes of its fixed texts, hashes of the named elements it confirms."""
+
+    content: str = ""
+    alike: int = 0
+    fixed: frozenset[int] = frozenset()
+    named: frozenset[int] = frozenset()
+
+
 def attributes(raw: str) -> dict[str, str]:
     return {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
 
 
 def is_dropped(tag: str, attrs: dict[str, str], content: str) -> bool:
-    """Whether an element is no main text by its name; content is the article or main it is in."""
+    """Whether an element is no main text by its tag, role or style; content is the article or main it is in."""
     if tag in NO_TEXT or (tag == "header" and not content):
         return True
     if not attrs:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return True
-    if attrs.get("role", "").lower() in NO_ROLE:
-        return True
-    if tag in CONTENT or tag in ("html", "body"):
+    return attrs.get("role", "").lower() in NO_ROLE
+
+
+def is_named(tag: str, attrs: dict[str, str], content: str) -> bool:
+    """Whether the class or id of an element calls it a notice, an advert or the like."""
+    if not attrs or tag in CONTENT or tag in ("html", "body"):
         return False
     words = {w.lower() for w in WORD.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
     return bool(words & NO_WORD) or (not content and bool(words & NO_WORD_OUTSIDE))
 
 
-def scan(html: str) -> tuple[list[tuple[str, str]], list[Block]]:
-    """Tokens for the inference - (tag or "", path or text) - and the blocks of a page.
+def boxed(box: str, inner: dict[str, int], name: str) -> tuple[str, dict[str, int]]:
+    """The place of a container with that name in the container box, which holds inner: the second and later ones of a name are numbered."""
+    inner[name] = inner.get(name, 0) + 1
+    return f"{box}>{name}" + (f":{inner[name]}" if inner[name] > 1 else ""), {}
 
-    A broken page is read as far as it goes: end tags without a start are skipped, an end tag
-    closes what is open inside its element, and a block closes an open paragraph.
+
+def scan(html: str) -> Page:
+    """A page, read as far as it goes if it is broken: end tags without a start are skipped, an
+    end tag closes what is open inside its element, and a block closes an open paragraph.
+    Numbers in classes and ids are all the same, as they tell pages of a host apart.
     """
-    stack = [Node("", "", False, "")]
-    tokens: list[tuple[str, str]] = []
-    blocks: list[Block] = []
+    stack = [Node("", "", "", {}, "", False, "", False)]
+    page = Page()
+    tokens, blocks = page.tokens, page.blocks
     current: Block | None = None
     at = 0
 
@@ -106,12 +149,15 @@ def scan(html: str) -> tuple[list[tuple[str, str]], list[Block]]:
         if not raw:
             return
         top = stack[-1]
-        if current is None or current.dropped != top.dropped or current.content != top.content:
-            current = Block(top.path, top.content, top.dropped)
+        if current is None or current.dropped != top.dropped or current.content != top.content or current.named != top.named or current.box != top.box:
+            current = Block(top.box, top.content, top.dropped, top.named)
             blocks.append(current)
         current.parts.append(raw)
         if not raw.isspace():
-            tokens.append(("", " ".join(unescape(raw).split())))
+            told = " ".join(unescape(raw).split())
+            tokens.append(("", told))
+            if not (top.dropped or top.link or top.named):
+                page.weights[top.box] = page.weights.get(top.box, 0) + len(told)
 
     def close(tag: str) -> None:
         nonlocal current
@@ -155,13 +201,20 @@ def scan(html: str) -> tuple[list[tuple[str, str]], list[Block]]:
                     tokens.append((f"/{tag}", ""))
             top = stack[-1]
             attrs = attributes(m[3])
-            name = tag + "".join(f".{w}" for w in sorted(attrs.get("class", "").split())) + (f"#{attrs['id']}" if attrs.get("id") else "")
+            name = tag
+            if attrs:
+                name += NUMBER.sub("0", "".join(f".{w}" for w in sorted(attrs.get("class", "").split())) + (f"#{attrs['id']}" if attrs.get("id") else ""))
             path = f"{top.path}>{name}"
             dropped = top.dropped or is_dropped(tag, attrs, top.content) or (tag == "article" and top.content == "article")
-            stack.append(Node(tag, path, dropped, tag if tag in CONTENT and top.content != "article" else top.content))
+            named = top.named
+            if not named and is_named(tag, attrs, top.content):
+                named = path
+                page.named.add(path)
+            box, inner = boxed(top.box, top.inner, name) if tag in CONTAINERS else (top.box, top.inner)
+            stack.append(Node(tag, path, box, inner, tag if tag in CONTENT and top.content != "article" else top.content, dropped, named, top.link or tag == "a"))
             tokens.append((name, path))
     text(html[at:])
-    return tokens, blocks
+    return page
 
 
 # --- wrappers: lists of ("tag", name), ("text", fixed or None), ("opt", part), ("rep", part)
@@ -269,7 +322,7 @@ def generalise(wrapper: list[tuple], page: list[tuple]) -> list[tuple]:
 
 def infer(pages: list[str]) -> list[tuple]:
     """The wrapper of a host's pages, in the given order; empty for fewer than two."""
-    streams = [as_wrapper(scan(p)[0]) for p in pages]
+    streams = [as_wrapper(scan(p).tokens) for p in pages]
     if len(streams) < 2:
         return []
     wrapper = streams[0]
@@ -286,20 +339,148 @@ def fixed_texts(wrapper: list[tuple]) -> list[int]:
     """
     if not any(k in ("opt", "rep") or v is None for k, v in wrapper):
         return []
-    return sorted({xxhash.xxh3_64_intdigest(v) >> 1 for k, v in wrapper if k == "text" and v})
+    return sorted({hashed(v) for k, v in wrapper if k == "text" and v})
+
+
+def opened(wrapper: list[tuple]) -> Iterator[tuple[str, str, str]]:
+    """(kind, value, box) of the tokens that every page of a wrapper has: what a text or tag is in."""
+    stack = [("", "", {})]
+    for kind, value in wrapper:
+        if kind == "tag" and value.startswith("/"):
+            if k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == value[1:]), 0):
+                del stack[k:]
+        elif kind == "tag":
+            tag = re.split(r"[.#]", value, maxsplit=1)[0]
+            stack.append((tag, *(boxed(*stack[-1][1:], value) if tag in CONTAINERS else stack[-1][1:])))
+            yield kind, tag, stack[-1][1]
+        elif kind == "text":
+            yield kind, value, stack[-1][1]
+
+
+def containers(wrapper: list[tuple]) -> list[str]:
+    """The containers that every page of a wrapper has, outermost first."""
+    return list(dict.fromkeys(box for kind, tag, box in opened(wrapper) if kind == "tag" and tag in CONTAINERS))
+
+
+def within(path: str, outer: str) -> bool:
+    return path == outer or path.startswith(outer + ">")
 
 
-def main_text(html: str, fixed: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page: its blocks joined by line feeds. fixed: texts of the host's wrapper."""
-    blocks = scan(html)[1]
-    told = [b for b in blocks if not b.dropped]
+def pruned(wrapper: list[tuple], weights: dict[str, int]) -> dict[str, int]:
+    """weights by the innermost container of the wrapper around each."""
+    known = set(containers(wrapper))
+    out: dict[str, int] = {}
+    for path, n in weights.items():
+        while path and path not in known:
+            path = path.rpartition(">")[0]
+        out[path] = out.get(path, 0) + n
+    return out
+
+
+def named_as(box: str) -> str:
+    """box without its number among containers of one name."""
+    return re.sub(r":[0-9]+$", "", box)
+
+
+def content_in(guide: Guide, blocks: list[Block], told: list[Block]) -> list[Block]:
+    """Of the blocks told, those in a page's content. A page with more or fewer containers of the
+    content's name than most has is out of step with their numbers: there the one with most text is it."""
+    content = guide.content
+    if side_by_side(blocks).get(named_as(content), guide.alike) != guide.alike:
+        weights: dict[str, int] = {}
+        for b in told:
+            at = ">".join(b.box.split(">")[: content.count(">") + 1])
+            if named_as(at) == named_as(content):
+                weights[at] = weights.get(at, 0) + sum(len(p.strip()) for p in b.parts)
+        content = max(weights, key=lambda at: (weights[at], at == content), default=content)
+    return [b for b in told if within(b.box, content)]
+
+
+def content_of(wrapper: list[tuple], weights: dict[str, int]) -> str:
+    """The innermost container that holds most of the text; an article or main is not looked into."""
+    total, at = sum(weights.values()), ""
+    if not total:
+        return ""
+    held = {p: sum(n for q, n in weights.items() if within(q, p)) for p in containers(wrapper)}
+    while True:
+        inner = [p for p in held if p != at and within(p, at) and held[p] >= HELD * total] if at else [p for p in held if held[p] >= HELD * total]
+        if not inner or re.match(ARTICLE, at.rpartition(">")[2]):
+            return at
+        at = min(inner, key=lambda p: (p.count(">"), -held[p], p))
+
+
+@dataclass
+class Found:
+    """A wrapper and what its distinct pages say: how many, their text by container, how many have each named element, and how many have each number of containers side by side."""
+
+    wrapper: list[tuple]
+    pages: int
+    weights: dict[str, int]
+    named: dict[str, int]
+    rows: dict[tuple[str, int], int]
+
+    def joined(self, other: Found) -> Found:
+        wrapper = generalise(self.wrapper, other.wrapper)
+        weights, named, rows = dict(self.weights), dict(self.named), dict(self.rows)
+        for to, more in ((weights, other.weights), (named, other.named), (rows, other.rows)):
+            for path, n in more.items():
+                to[path] = to.get(path, 0) + n
+        return Found(wrapper, self.pages + other.pages, pruned(wrapper, weights), named, rows)
+
+    def guide(self) -> Guide | None:
+        """None where there is nothing to compare: one distinct page."""
+        if self.pages < 2:
+            return None
+        content = content_of(self.wrapper, self.weights)
+        fixed = fixed_texts(self.wrapper)
+        if re.match(ARTICLE, content.rpartition(">")[2]):
+            held = sum(n for q, n in self.weights.items() if within(q, content))
+            if self.pages * sum(len(v) for k, v, box in opened(self.wrapper) if k == "text" and v and within(box, content)) > OWN * held:
+                fixed = []  # pages that are copies but for a few words: what they share is their text
+        alike = max((m, -n) for (p, n), m in [*self.rows.items(), (("", 0), 0)] if p in ("", named_as(content)))[1]
+        return Guide(content, -alike, frozenset(fixed), frozenset(hashed(p) for p, n in self.named.items() if n > 1))
+
+
+def side_by_side(blocks: list[Block]) -> dict[str, int]:
+    """How many containers with text there are by place and name."""
+    boxes: set[str] = set()
+    for box in {b.box for b in blocks}:
+        while box and box not in boxes:
+            boxes.add(box)
+            box = box.rpartition(">")[0]
+    out: dict[str, int] = {}
+    for box in sorted(boxes):
+        out[named_as(box)] = out.get(named_as(box), 0) + 1
+    return out
+
+
+def found_in(html: str) -> Found:
+    page = scan(html)
+    wrapper = as_wrapper(page.tokens)
+    return Found(wrapper, 1, pruned(wrapper, page.weights), dict.fromkeys(sorted(page.named), 1), dict.fromkeys(side_by_side(page.blocks).items(), 1))
+
+
+def hashed(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
+def main_text(html: str, guide: Guide | None = None) -> str:
+    """The main text of a page: its blocks joined by line feeds. guide: what the host's wrapper says, if it has one.
+
+    What would leave no text at all is not done: content without text gives way to the article
+    or main element, that to the whole page, and fixed texts stay if nothing else is there.
+    """
+    blocks = scan(html).blocks
+    told = [b for b in blocks if not b.dropped and not (b.named and (guide is None or hashed(b.named) in guide.named))]
+    full = lambda blocks: any(not p.isspace() for b in blocks for p in b.parts)
+    if guide and guide.content and full(inside := content_in(guide, blocks, told)):
+        told = inside
     for content in ("article", "main"):
-        if any(b.content == content and any(not p.isspace() for p in b.parts) for b in told):
-            told = [b for b in told if b.content == content]
-            fixed = frozenset()
+        if full(inside := [b for b in told if b.content == content]):
+            told = inside
             break
     lines = [x for b in told if (x := " ".join(unescape("".join(b.parts)).split()))]
-    own = [x for x in lines if not (fixed and xxhash.xxh3_64_intdigest(x) >> 1 in fixed)]
+    own = [x for x in lines if hashed(x) not in guide.fixed] if guide else lines
     return "\n".join(own or lines)
 
 
@@ -309,7 +490,7 @@ def host(url: str = "url"):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, fixed (hashes of fixed texts), pages: the wrapper of each host in brief.
+    """host, content, alike, fixed, named (null for hosts with one distinct page), pages: the guide of each host.
 
     Every distinct page of a host takes part, as its tokens: about PAGES of them, dealt by a
     digest, make a first wrapper, and MERGED wrappers make one until the host has one, so no
@@ -323,8 +504,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         seen = set()
         for batch in batches:
             hosts, digests, tokens = [], [], []
-            for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = json.dumps(as_wrapper(scan(html)[0])).encode()
+            for name, html in zip(batch.column(0), batch.column(1), strict=True):
+                name, raw = name.as_py(), pickle.dumps(found_in(html.as_py()))
                 digest = hashlib.md5(raw).hexdigest()
                 if (name, digest) not in seen:
                     seen.add((name, digest))
@@ -333,21 +514,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
                     tokens.append(zlib.compress(raw, 1))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.string()), pa.array(tokens, pa.binary())], ["host", "digest", "tokens"])
 
+    def joined(group: pd.DataFrame, part: int, order: str) -> pd.DataFrame:
+        found: Found | None = None
+        for tokens in group.sort_values(order)["tokens"]:
+            one = pickle.loads(zlib.decompress(tokens))
+            found = one if found is None else found.joined(one)
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "part": [part], "tokens": [zlib.compress(pickle.dumps(found), 1)]})
+
     def first(group: pd.DataFrame) -> pd.DataFrame:
-        wrapper: list[tuple] | None = None
-        for tokens in group.drop_duplicates("digest").sort_values("digest")["tokens"]:
-            stream = [tuple(x) for x in json.loads(zlib.decompress(tokens))]
-            wrapper = stream if wrapper is None else generalise(wrapper, stream)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "part": [int(group["part"].iloc[0])], "wrapper": [pickle.dumps(wrapper)]})
+        return joined(group.drop_duplicates("digest"), int(group["part"].iloc[0]), "digest")
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
-        found = [pickle.loads(w) for w in group.sort_values("part")["wrapper"]]
-        wrapper = found[0]
-        for w in found[1:]:
-            wrapper = generalise(wrapper, w)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "part": [int(group["part"].iloc[0]) // MERGED], "wrapper": [pickle.dumps(wrapper)]})
+        return joined(group, int(group["part"].iloc[0]) // MERGED, "part")
 
-    kind = "host string, part long, wrapper binary"
+    kind = "host string, part long, tokens binary"
     distinct = rows.where("html <> ''").mapInArrow(streams, "host string, digest string, tokens binary")
     dealt = lookup(distinct, sizes, "host", ["pages"], "pages", F.concat(F.lit("#"), F.col("digest")))
     part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("pages") / PAGES).cast("long"))
@@ -359,26 +539,37 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def brief(batches):
         for batch in batches:
-            fixed = [fixed_texts(pickle.loads(w)) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fixed, pa.list_(pa.int64()))], ["host", "fixed"])
+            guides = [pickle.loads(zlib.decompress(w.as_py())).guide() for w in batch.column(1)]
+            cols = [[g and g.content for g in guides], [g and g.alike for g in guides], [g and sorted(g.fixed) for g in guides], [g and sorted(g.named) for g in guides]]
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["host", "content", "alike", "fixed", "named"])
 
-    fixed = written(told.select("host", "wrapper").mapInArrow(brief, "host string, fixed array<long>"), "wrappers")
-    return fixed.join(sizes, "host")
+    guides = written(told.select("host", "tokens").mapInArrow(brief, "host string, content string, alike long, fixed array<long>, named array<long>"), "wrappers")
+    return guides.join(sizes, "host")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every page, from its whole html.
 
-    A null html has no text. Pages without a host share one wrapper with each other. Repeated
-    rows give repeated rows; an empty table gives none; other columns are ignored.
+    by_wrapper says whether the host's wrapper named the content the text is from. A null html
+    has no text. Pages without a host share one wrapper with each other. Copies of a page are one
+    for the wrapper and keep their text; repeated rows give repeated rows; pages of any length
+    are read whole; an empty table gives none; other columns, whatever their names, are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"), host().alias("host"))
-    told = lookup(rows, wrappers(pages), "host", ["fixed"], "pages", F.concat(F.lit("#"), F.xxhash64("page_id", "url").cast("string")))
+    told = lookup(rows, wrappers(pages), "host", ["content", "alike", "fixed", "named"], "pages", F.concat(F.lit("#"), F.xxhash64("page_id", "url").cast("string")))
 
     def extracted(batches):
+        guides: dict[str, Guide | None] = {}
         for batch in batches:
-            html, fixed = batch.column(2), batch.column(3)
-            texts = [main_text(h.as_py(), frozenset(f.as_py() or ())) for h, f in zip(html, fixed, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return told.select("page_id", "url", "html", "fixed").mapInArrow(extracted, "page_id long, url string, text string, n_chars long")
+            texts, by = [], []
+            for html, name, content, alike, fixed, named in zip(*batch.columns[2:], strict=True):
+                if (name := name.as_py()) not in guides:
+                    if len(guides) > 1000:
+                        guides.clear()
+                    guides[name] = None if content.as_py() is None else Guide(content.as_py(), alike.as_py(), frozenset(fixed.as_py()), frozenset(named.as_py()))
+                texts.append(main_text(html.as_py(), guides[name]))
+                by.append(bool(guides[name] and guides[name].content))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(by, pa.bool_())], ["page_id", "url", "text", "n_chars", "by_wrapper"])
+
+    return told.select("page_id", "url", "html", "host", "content", "alike", "fixed", "named").mapInArrow(extracted, "page_id long, url string, text string, n_chars long, by_wrapper boolean")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -60,7 +61,14 @@ def test_chunks_are_shared():
 @given(texts)
 def test_word_ids_equal_the_library(text):
     tool = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
-    assert np.frombuffer(tool.ids(text), "<u4").tolist() == WORD.encode(text, add_special_tokens=False).ids
+    assert [x.tolist() for x in tool.ids([text, "", text])] == [WORD.encode(t, add_special_tokens=False).ids for t in (text, "", text)]
+
+
+def test_word_ids_of_segments_and_odd_texts(monkeypatch):
+    monkeypatch.setattr(packing, "SEGMENT", 40)
+    tool = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["Don't STOP. it's 3.14, ok?! " * 9, "x" * 300, "a <|EndOfText|> b <|endoftext|> c", "ΌΣΟΣ İI ǅ ﬁ Ångström", "e\u0301a\xa0b\x85c\x1cd\u3000e", "漢字 かな 한글 " * 8, "", " \t\n", "ÀÉÎ, Öß. ÿŸ", "A.B,C..D,,", "\x00\x01 \x7f"]
+    assert [x.tolist() for x in tool.ids(odd)] == [WORD.encode(t, add_special_tokens=False).ids for t in odd]
 
 
 def fewest(sizes, capacity):
@@ -97,6 +105,40 @@ def test_packing_is_optimal_on_small_cases():
         assert sum(found.values()) == fewest(sizes, capacity)
 
 
+def test_fillings_come_by_waste_and_leave_out_none():
+    rng = random.Random(8)
+    for _ in range(60):
+        room = rng.randint(5, 20)
+        counts = Counter(rng.randint(1, room) for _ in range(rng.randint(1, 7)))
+        found = [f for f in packing.fillings(list(counts), counts, room) if f is not None]
+        every = {tuple(sorted(c, reverse=True)) for n in range(8) for c in itertools.combinations(counts.elements(), n) if sum(c) <= room}
+        assert [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True) and set(found) <= every and len(set(found)) == len(found)
+        assert all(any(packing.dominates(f, e) for f in found) for e in every)
+
+
+def test_packing_beats_best_fit_with_many_pieces_a_sequence():
+    rng = random.Random(5)
+    missed = 0
+    for _ in range(60):
+        sizes, bins = [], rng.randint(2, 9)
+        for _ in range(bins):
+            cuts = sorted(rng.sample(range(1, 50), rng.randint(2, 8)))
+            sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 50], strict=True)]
+        counts = dict(Counter(sizes))
+        found = packing.search(counts, 50)
+        missed += sum(packing.best_fit(counts, 50).values()) > bins
+        assert (found.sequences, found.bound, found.ended) == (bins, bins, "bound")
+    assert missed
+
+
+def test_the_search_ends_by_its_budget_and_says_so():
+    counts = dict(Counter(random.Random(1).choices(range(410, 800), k=3000)))
+    short, longer = packing.search(counts, 4096, 0), packing.search(counts, 4096)
+    assert short.ended == longer.ended == "budget" and short.bound <= longer.sequences < short.sequences == sum(packing.best_fit(counts, 4096).values())
+    one = packing.search({4: 3}, 7)
+    assert (one.sequences, one.ended) == (3, "bound") and packing.search({}).sequences == 0
+
+
 def test_places_hold_every_rank_once():
     counts = {7: 5, 3: 11, 2: 4, 10: 2}
     p = packing.places(packing.solve(counts, 10))
@@ -239,7 +281,56 @@ def test_wrappers_find_slots_groups_and_fixed_texts():
     assert "rep" in kinds or "opt" in kinds
     fixed = set(wrappers.fixed_texts(wrapper))
     for p in pages:
-        assert wrappers.reads(wrapper, wrappers.as_wrapper(wrappers.scan(p)[0]), 0) > 0
-    assert wrappers.main_text(pages[0], fixed) == "2 0\n2 1"
+        assert wrappers.reads(wrapper, wrappers.as_wrapper(wrappers.scan(p).tokens), 0) > 0
+    assert wrappers.main_text(pages[0], wrappers.Guide(fixed=frozenset(fixed))) == "2 0\n2 1"
     assert wrappers.main_text(pages[0]) == "Our site\n2 0\n2 1"
     assert wrappers.infer(pages[:1]) == []
+
+
+def host_guide(pages):
+    found = None
+    for p in sorted(set(pages)):
+        found = wrappers.found_in(p) if found is None else found.joined(wrappers.found_in(p))
+    return found.guide()
+
+
+def made_pages(seed, tags):
+    """Pages of one host and their main texts: a menu, a notice now and then, an article with adverts of its own, a footer."""
+    rng = random.Random(seed)
+    prose = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) + str(rng.randrange(99)) for _ in range(n))
+    menu, notice, article, advert, footer = tags
+    pages, texts = [], []
+    for k in range(12):
+        blocks = [prose(rng.randint(4, 40)) for _ in range(rng.randint(1, 6))]
+        inner = "".join(f"<p>{b}</p>" + (f'<div class="{advert}">{prose(3)}</div>' if i == 0 else "") for i, b in enumerate(blocks))
+        top = f"<{notice}>{prose(3)}</{notice.split()[0]}>" if k % 4 == 1 else ""
+        pages.append(f"<html><body><{menu}><ul>{''.join(f'<li><a>{prose(1)}</a></li>' for _ in range(4))}</ul></{menu}>{top}<{article}><h1>{prose(3)}</h1>{inner}<h4>Share this</h4></{article}><{footer}>{prose(4)}</{footer}></body></html>")
+        title = re.search("<h1>(.*)</h1>", pages[-1])[1]
+        texts.append("\n".join([title, *blocks]))
+    return pages, texts
+
+
+@pytest.mark.parametrize("tags", [("nav", "aside", "article", "ad", "footer"), ("div", "p", "div", "ad", "div"), ("section", "div", "section", "promo-box", "section")])
+def test_the_wrapper_tells_the_content_of_unnamed_elements(tags):
+    pages, texts = made_pages(3, tags)
+    guide = host_guide(pages)
+    assert guide.content and [wrappers.main_text(p, guide) for p in pages] == texts
+
+
+def test_named_elements_go_only_where_the_wrapper_confirms_them():
+    page = '<body><article><h1>{0}</h1><p>text {0} {0} {0}</p>{1}<p>more {0}</p></article></body>'
+    pages = [page.format(k, '<div class="notice-of-meeting">at nine</div>' if k == 1 else f'<div class="share">s{k}</div>') for k in range(5)]
+    guide = host_guide(pages)
+    assert wrappers.main_text(pages[1], guide) == "1\ntext 1 1 1\nat nine\nmore 1"
+    assert wrappers.main_text(pages[2], guide) == "2\ntext 2 2 2\nmore 2" == wrappers.main_text(pages[2])
+    assert wrappers.main_text(pages[1]) == "1\ntext 1 1 1\nmore 1"
+
+
+def test_copies_and_near_copies_keep_their_text():
+    page = "<body><div>menu</div><article><h1>Same</h1><p>the same text on all of them</p>{}</article></body>"
+    assert host_guide([page.format("")] * 3) is None
+    near = [page.format(k) for k in ("x", "y", "z")]
+    assert [wrappers.main_text(p, host_guide(near)) for p in near] == [f"Same\nthe same text on all of them\n{k}" for k in "xyz"]
+    odd = ["", "<p>a", "<div><div><div>", "</div></p>", "<article></article>x", "plain & text"]
+    guide = host_guide(odd)
+    assert [bool(wrappers.main_text(p, guide)) for p in odd] == [False, True, False, False, True, True]

@@ -73,10 +73,29 @@ def test_wrappers_take_all_distinct_pages(spark):
 
 def test_wrappers_of_wrappers_read_their_pages():
     pages = [f"<body><h1>Site</h1><ul>{'<li>x</li>' * (k % 4 + 1)}</ul>{'<b>new</b>' * (k % 3 == 0)}<p>text {k}</p></body>" for k in range(24)]
-    streams = [wrappers.as_wrapper(wrappers.scan(p)[0]) for p in pages]
+    streams = [wrappers.as_wrapper(wrappers.scan(p).tokens) for p in pages]
     parts = [wrappers.infer(pages[k : k + 6]) for k in range(0, 24, 6)]
     whole = parts[0]
     for p in parts[1:]:
         whole = wrappers.generalise(whole, p)
     assert all(wrappers.reads(whole, s, 0) == len(s) for s in streams)
     assert len(wrappers.fixed_texts(whole)) == 1
+
+
+def test_extraction_equals_the_same_rules_without_spark(spark):
+    """Brute force: the wrapper of each host from its distinct pages in one loop, then every page by it."""
+    from tests.llm.test_cores import host_guide, made_pages
+
+    ship(spark)
+    rows, want = [], {}
+    for h, tags in enumerate([("nav", "aside", "article", "ad", "footer"), ("div", "p", "div", "ad", "div")]):
+        pages, texts = made_pages(h, tags)
+        guide = host_guide(pages)
+        for k, p in enumerate(pages * 2):
+            rows.append((100 * h + k, f"https://u@H{h}.example:80/{k}?q", p))
+            want[100 * h + k] = texts[k % 12]
+            assert wrappers.main_text(p, guide) == texts[k % 12]
+    rows += [(900, None, None), (901, None, "<p>x"), (902, "", "<p>x"), (902, "", "<p>x"), (None, "http://one/", "<nav>m</nav><p>y")]
+    got = wrappers.extract(spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, html string, content string, alike int")).collect()
+    assert {r.page_id: r.text for r in got} == want | {900: "", 901: "x", 902: "x", None: "y"} and len(got) == len(rows)
+    assert all(r.by_wrapper == (r.page_id is not None and r.page_id < 900) for r in got)
