@@ -16,33 +16,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.llm.common import text_of
 
-#: Bounds of the training sample: documents a language, code points of a document that may be drawn, and how many times
-#: the sample the first draw leaves.
-SAMPLE_DOCS, SAMPLE_CHARS, DRAWN = 200, 20_000, 8
+#: Bounds of the training sample: languages (those with most rows), documents a language, code points of a document that
+#: may be drawn, and how many times the sample the first draw leaves.
+LANGS, SAMPLE_DOCS, SAMPLE_CHARS, DRAWN = 200, 200, 20_000, 8
 #: Hashed features, words of the lexicon a language, words of a training sequence, sequences, passes.
 FEATURES, LEXICON, SEQUENCE, SEQUENCES, PASSES = 1 << 16, 400, 24, 6000, 3
 RATE, DECAY, SEED = 0.25, 1e-6, 7
-#: Words of a block; entries of a worker's word memo.
+#: Words of a block; entries of a worker's word memo, each of at most PIECE letters.
 BLOCK, MEMO = 64, 400_000
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a position of the chain; letters beyond the Latin blocks; runs of one script.
+PIECE = 24
+BEYOND = re.compile("[\u0250-\u1dff\u2c00-\U0010ffff]")
+SCRIPTS = regex.compile(r"[\p{Latin}\p{Common}\p{Inherited}]+|\p{Greek}+|\p{Cyrillic}+|\p{Arabic}+|\p{Hebrew}+|\p{Devanagari}+|\p{Thai}+|\p{Hangul}+|\p{Hiragana}+|\p{Katakana}+|\p{Han}+|.")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
-    return WORD.findall(text.lower())
+    """Runs of letters of one script, in lower case; a run of more than PIECE letters makes several."""
+    words = WORD.findall(text.lower())
+    if BEYOND.search(text):
+        words = [part for w in words for part in (SCRIPTS.findall(w) if BEYOND.search(w) else (w,))]
+    if max(map(len, words), default=0) > PIECE:
+        words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+    return words
 
 
 def features_of(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a word: whole, prefixes and suffixes to 3, inner bigrams and trigrams, lexicon."""
+    """Hashed features of a word: whole, prefixes and suffixes to 3, all its bigrams and trigrams, lexicon."""
     shown = f"<{word}>"
     raw = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    raw += [shown[i : i + 3] for i in range(min(len(shown) - 2, 16))] + [f"2{word[i : i + 2]}" for i in range(min(len(word) - 1, 12))]
+    raw += [shown[i : i + 3] for i in range(len(shown) - 2)] + [f"2{word[i : i + 2]}" for i in range(len(word) - 1)]
     if (mark := lexicon.get(word)) is not None:
         raw += [f"l{mark}", f"w{word}"]
     return [zlib.crc32(f.encode()) % FEATURES for f in dict.fromkeys(raw)]
@@ -71,7 +81,7 @@ class Model:
 
 
 def sample(labelled: DataFrame) -> DataFrame:
-    """lang, text: at most SAMPLE_DOCS documents of each language, drawn by a hash of their ids.
+    """lang, text: at most SAMPLE_DOCS documents of each of LANGS languages, drawn by a hash of their ids.
 
     Only rows of at most SAMPLE_CHARS code points are drawn, so the sample has a bound of
     SAMPLE_DOCS * SAMPLE_CHARS code points a language. A first draw by hash, at a rate that
@@ -79,7 +89,7 @@ def sample(labelled: DataFrame) -> DataFrame:
     are ranked, so a language with most of the rows is no burden at any size.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text").between(1, SAMPLE_CHARS))
-    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
     if not counts:
         return rows.select("lang", "text")
     rate = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, DRAWN * SAMPLE_DOCS / n))])
@@ -316,7 +326,8 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
 
     The confidence of a word is its largest marginal, whichever language that is, so a text in
     several languages is not held against itself. A model that was not fitted tells nothing: then
-    every text with a letter stays.
+    every text with a letter stays. A text that is null or has no letter goes; repeated rows stay
+    or go together; all columns are kept, whatever their names; an empty table gives none.
     """
     text = docs.columns.index("text")
 
@@ -351,8 +362,10 @@ def fit(docs: DataFrame) -> Model:
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: fit on the labelled rows, predict every row.
 
-    A null doc_id is not held out. Ties go to the first language by name. Repeated rows give
-    repeated rows, an empty table none.
+    A null doc_id is not held out. Ties go to the first language by name. Texts of any length
+    are read whole; a text's words and their marginals are held at once, the one thing here that
+    grows with a text. Repeated rows give repeated rows, an empty table none; other columns,
+    whatever their names, are ignored.
     """
     found = predict(docs, fit(docs))
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

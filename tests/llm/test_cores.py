@@ -260,7 +260,7 @@ def test_incremental_entropy_equals_the_plain_one():
     random.seed(6)
     run = "".join(random.choice("abcdef0123456789XYZ") for _ in range(80))
     plain = [-sum(c / secrets.WINDOW * math.log2(c / secrets.WINDOW) for c in Counter(run[i : i + secrets.WINDOW]).values()) for i in range(len(run) - secrets.WINDOW + 1)]
-    covered = {k for a, b in secrets.hot_windows(run, 3.5) for k in range(a, b)}
+    covered = {k for a, b, _ in secrets.hot_windows(run, dict.fromkeys(secrets.THRESHOLD, 3.5)) for k in range(a, b)}
     assert covered == {k for i, h in enumerate(plain) if h >= 3.5 for k in range(i, i + secrets.WINDOW)}
 
 
@@ -334,3 +334,106 @@ def test_copies_and_near_copies_keep_their_text():
     odd = ["", "<p>a", "<div><div><div>", "</div></p>", "<article></article>x", "plain & text"]
     guide = host_guide(odd)
     assert [bool(wrappers.main_text(p, guide)) for p in odd] == [False, True, False, False, True, True]
+
+
+def test_words_of_scripts_and_long_runs():
+    assert langid.words_of("Don't 3abc_dÉf") == ["don", "t", "abc", "déf"]
+    assert langid.words_of("приветworld 漢字かなカナ") == ["привет", "world", "漢字", "かな", "カナ"]
+    run = "".join(chr(0x4E00 + k) for k in range(60))
+    assert "".join(langid.words_of(run)) == run and len(langid.words_of(run)) == 3
+    assert "".join(langid.words_of("x" * 100 + " y")) == "x" * 100 + "y"
+    other = run[:30] + "".join(chr(0x5000 + k) for k in range(30))
+    assert langid.words_of(run)[2] != langid.words_of(other)[2]
+    long = "abcdefghijklmnopqrstuvwx"
+    assert set(langid.features_of(long, {})) != set(langid.features_of(long[:18] + "zyxwvx", {}))
+
+
+def test_language_rows_equal_the_plain_computation(monkeypatch):
+    """Brute force: marginals of every word by enumeration over a chain, then means."""
+    rows = [("a", "the cat and the dog went out " * 6), ("b", "der hund und die katze gingen raus " * 6)] * 8
+    monkeypatch.setattr(langid, "SEQUENCES", 400)
+    model = langid.train(rows)
+    text = "the hund and die"
+    words = langid.words_of(text)
+    scores = model.scores(words)
+    weights = {}
+    for path in itertools.product(range(2), repeat=len(words)):
+        total = model.start[path[0]] + sum(scores[i, c] for i, c in enumerate(path)) + sum(model.step[x, y] for x, y in itertools.pairwise(path))
+        weights[path] = math.exp(total)
+    z = sum(weights.values())
+    mean = [sum(w * sum(c == k for c in p) for p, w in weights.items()) / z / len(words) for k in range(2)]
+    ((_, answer, score, _),) = langid.answers(langid.Labeller(model), [text])
+    assert answer == [model.langs[int(np.argmax(mean))]] and abs(score[0] - max(mean)) < 1e-4
+
+
+def plain_base(text):
+    """Brute force: the three fixed patterns, character by character."""
+    found, ascii_, word = [], "abcdefghijklmnopqrstuvwxyz", set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+    low = "".join(ascii_[ord(c) - 65] if "A" <= c <= "Z" else c for c in text)
+    at = 0
+    while at < len(text):
+        end = 0
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(name, at):
+                continue
+            k = at + len(name)
+            k += text[k : k + 1] in ("'", '"') and k < len(text)
+            while text[k : k + 1] == " ":
+                k += 1
+            if text[k : k + 1] not in (":", "="):
+                continue
+            k += 1
+            while text[k : k + 1] == " ":
+                k += 1
+            quote = k + (text[k : k + 1] in ("'", '"') and k < len(text))
+            stop = quote
+            while stop < len(text) and text[stop] in word:
+                stop += 1
+            if stop > quote:
+                end = stop
+                if stop - quote >= 6:
+                    found.append((at, stop, "assign"))
+                break
+        at = max(end, at + 1)
+    for kind, head, allowed, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            stop = at + len(head)
+            while stop < len(text) and text[stop] in allowed:
+                stop += 1
+            if not text.startswith(head, at) or stop == at + len(head):
+                at += 1
+                continue
+            if stop - at >= least:
+                found.append((at, stop, kind))
+            at = stop
+    return found
+
+
+@given(st.lists(st.sampled_from(["password", "PassWd", "secret", "token", "api_key", "APIKEY", "api", '"', "'", " ", "  ", ":", "=", "abc123", "x.y-z", "AKIA", "AKIA" + "Z9" * 9, "0123456789abcdef", "deadbeef", "\n", "é", "ſecret", "\u00a0", "K"]), max_size=14).map("".join))
+def test_base_spans_equal_brute_force(text):
+    base, both = secrets.spans_of(text)
+    order = lambda x: (x[0], ("assign", "access", "hex").index(x[2]))
+    assert base == sorted(plain_base(text), key=order)
+    more = [x for x in secrets.entropy_spans(text) if not any(a <= x[0] and x[1] <= b for a, b, _ in base)]
+    assert both == sorted([*base, *more], key=lambda x: (x[0], secrets.ORDER[x[2]], x[1]))
+
+
+def test_classes_of_windows_and_allowed_strings():
+    random.seed(9)
+    made = lambda alphabet, n, before="": before + "".join(random.choice(alphabet) for _ in range(n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    told = {"hex": made("0123456789ABCDEF", 40, "KEY="), "letters": made(low + up, 40), "lower_digits": made(low + digits, 30), "upper_digits": made(up + digits, 30), "mixed": made(low + up + digits, 30), "lower": made("bcdfghjklmnpqrstvwxyz", 40), "upper": made("BCDFGHJKLMNPQRSTVWXYZ", 40)}
+    for of, run in told.items():
+        assert f"entropy_{of}" in {k for *_, k in secrets.entropy_spans(f"a {run} b")}, of
+        assert run.removeprefix("KEY=") not in secrets.redact(f"a {run} b")
+    words = "internationalization-and-localization some/path/to/a/long/file_name_2024 CamelCaseClassNameFactoryImpl thisisaverylongwordwithoutspaces Rechtschreibreformbefuerworter Donaudampfschifffahrtsgesellschaft http-strict-transport-security-header 550e8400-e29b-41d4-a716-446655440000 2024-03-12T10:11:12Z ------------------------"
+    assert not secrets.spans_of(words)[1]
+    blob = "password=abc123 " * 20_000 + " ".join(made(low + up + digits, 40) for _ in range(4000))
+    base, both = secrets.spans_of(blob)
+    assert len(base) == 20_000 and len(both) >= 24_000
+
+
+def test_overlapping_spans_become_one_mark():
+    text = "x token=0123456789abcdef0123456789abcdef-rest y"
+    assert len(secrets.spans_of(text)[0]) == 2 and secrets.redact(text) == "x [SECRET] y"

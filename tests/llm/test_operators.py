@@ -247,6 +247,8 @@ def test_secret_rows(docs, rows, empty):
         assert (got[i].n_assign, got[i].spans) == (sum(k == "assign" for *_, k in base), secrets.joined(both))
         assert got[i].base_sha256 == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
     assert got[127].n_assign == 1 and secrets.scan(empty).count() == 0
+    twice = secrets.scan(docs.unionAll(docs).withColumn("spans", F.lit("x"))).collect()
+    assert len(twice) == 2 * len(rows) and {tuple(r) for r in twice} == {tuple(r) for r in got.values()}
 
 
 def test_languages(docs, rows, empty, monkeypatch):
