@@ -215,6 +215,60 @@ def test_fingerprints(spark, docs, rows, empty):
     assert [r.near_next for r in syncmers.compared(one).collect()] == [1.0, 1.0]
 
 
+def plain_fingerprint(text):
+    """Brute force: the register table of a text, as (hash, place) by register."""
+    import xxhash
+
+    raw, found = text.encode(), {}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    smers = [signed(xxhash.xxh64_intdigest(raw[i : i + syncmers.S], 42)) for i in range(len(raw) - syncmers.S + 1)]
+    w = syncmers.K - syncmers.S
+    kmers = [(i, raw[i : i + syncmers.K], 0) for i in range(len(raw) - syncmers.K + 1) if min(smers[i : i + w + 1]) in (smers[i], smers[i + w])]
+    if 0 < len(raw) <= 2 * syncmers.K:
+        kmers.append((0, raw, 1))
+    for place, kmer, whole in kmers:
+        h = xxhash.xxh64_intdigest(whole.to_bytes(4, "little"), xxhash.xxh64_intdigest(kmer, 42))
+        reg, v = h % syncmers.REGISTERS, (h >> 31, place)
+        found[reg] = min(found.get(reg, v), v)
+    return {r: (v % ((1 << syncmers.BITS) - 1) + 1, place % (1 << syncmers.PLACE)) for r, (v, place) in found.items()}
+
+
+def plain_likeness(a, b):
+    apart = [(a[r][1] - b[r][1]) % (1 << syncmers.PLACE) for r in a if r in b and a[r][0] == b[r][0]]
+    agree = sum(o == 0 or apart.count(o) > 1 for o in apart)
+    return agree / len(a.keys() | b.keys()) if a or b else 1.0
+
+
+def check_compared(spark, rows):
+    """rows: (doc_id, text), in any order; ids may repeat or be null, equal ids only with texts of one hash order."""
+    got = syncmers.compared(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fingerprint string")).collect()
+    line = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = []
+    for k, (i, t) in enumerate(line):
+        after = line[(k + 1) % len(line)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, new, nxt = map(plain_fingerprint, (t, edited, after))
+        text = "".join(f"{sum((own.get(r, (0, 0))[0] << syncmers.PLACE | own.get(r, (0, 0))[1]) << syncmers.WIDE * (syncmers.LANES - 1 - r % syncmers.LANES) for r in range(n * syncmers.LANES, min(syncmers.REGISTERS, (n + 1) * syncmers.LANES))):016x}" for n in range(syncmers.NUMBERS))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text, round(plain_likeness(own, new), 9), round(plain_likeness(own, nxt), 9)))
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark, rows, monkeypatch):
+    monkeypatch.setattr(syncmers, "RANGE", 8)
+    check_compared(spark, [(i, t) for i, t, _ in rows])
+
+
+def test_fingerprints_of_wide_clustered_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "RANGE", 4)
+    rng = random.Random(2)
+    ids = [-(2**63), -(2**63) + 1, 2**63 - 1, 2**63 - 2, 0, 1, 2, 3, *range(10**15, 10**15 + 30), *(rng.randrange(-(2**62), 2**62) for _ in range(20))]
+    check_compared(spark, [(i, prose(rng, rng.randint(0, 60))) for i in ids])
+    check_compared(spark, [(5, "same text of one id " * 3)] * 60 + [(None, "no id at all " * 4)] * 30 + [(i, f"text {i} " * 9) for i in range(10, 30)])
+    some = syncmers.compared(spark.createDataFrame([(7 if k % 3 else None, f"row {k} " * 5) for k in range(90)], "doc_id long, text string")).collect()
+    assert len(some) == 90 and len({r.fingerprint for r in some}) == 90
+
+
 def test_syncmers_are_closed(spark):
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefgh ") for _ in range(5000))
