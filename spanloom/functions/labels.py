@@ -25,11 +25,13 @@ def times_in(text: Column, part: Column) -> Column:
     return F.when(F.length(part) > 0, F.regexp_count(text, F.concat(F.lit("(?="), escaped(part), F.lit(")")))).otherwise(0).cast("long")
 
 
-def is_repeated(text: Column, start: Column, end: Column, around: int = 8) -> Column:
-    """Whether a target occurs again and its context, `around` characters on either side, is not unique."""
-    first = F.greatest(start - around, F.lit(0))
-    target, wide = substr(text, start, end - start), substr(text, first, end + around - first)
-    return (times_in(text, target) > 1) & (times_in(text, wide) != 1)
+def is_repeated(corpus: Column, target: Column, before: Column, after: Column, around: int = 8) -> Column:
+    """Whether a target occurs again in the corpus and its context, `around` characters on either side, is not unique.
+
+    All are normalised texts. An empty target is not repeated.
+    """
+    wide = F.concat(F.right(before, F.lit(around)), target, F.left(after, F.lit(around)))
+    return (times_in(corpus, target) > 1) & (times_in(corpus, wide) != 1)
 
 
 def proportional(length: Column, start: Column, end: Column, from_ms: Column, to_ms: Column) -> Column:

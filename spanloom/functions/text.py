@@ -41,6 +41,17 @@ def normalized_any(df: DataFrame, text: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def normalized_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with norm_<name> for each name, by the full Unicode rule."""
+    schema = StructType([*df.schema, *[StructField(f"norm_{n}", StringType()) for n in names]])
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(**{f"norm_{n}": [normalize_with_origin(t or "")[0] for t in pdf[n]] for n in names})
+
+    return df.mapInPandas(run, schema)
+
+
 def normalized_range(origin: Column, start: Column, end: Column) -> Column:
     """The range of normalised positions whose origins lie in [start, end); null if there is none."""
     inside = F.filter(F.transform(origin, lambda x, i: F.when((x >= start) & (x < end), i)), lambda i: i.isNotNull())
@@ -68,10 +79,16 @@ def unique_gram_pairs(reference: DataFrame, observed: DataFrame, keys: list[str]
     return once(reference, "ref_pos").join(once(observed, "obs_pos"), [*keys, "gram"])
 
 
+#: Fixed value of the document format: the word that a time anchor begins with; a name and the time follow.
+SPEAKER = "\u53d1\u8a00\u4eba"
+
+
 def anchor_ms(text: Column) -> Column:
-    """MM:SS or HH:MM:SS (one to three digits first) in milliseconds; null if it is no anchor."""
-    long = r"^\s*(\d{1,3}):([0-5]\d):([0-5]\d)\s*$"
-    short = r"^\s*(\d{1,3}):([0-5]\d)\s*$"
+    """The time of an anchor in milliseconds - the speaker's word, a name or none, and MM:SS or HH:MM:SS with one to three digits
+    first -; null if the line is no anchor."""
+    blank = r"[\t \u00a0\u3000]"
+    head = rf"^{blank}*{SPEAKER}(?:{blank}+[^\d:\r\n]{{1,40}}?)?{blank}+"
+    long, short = rf"{head}([0-9]{{1,3}}):([0-5][0-9]):([0-5][0-9]){blank}*\z", rf"{head}([0-9]{{1,3}}):([0-5][0-9]){blank}*\z"
     part = lambda pattern, k: F.regexp_extract(text, pattern, k).cast("long")
     return F.when(text.rlike(long), (part(long, 1) * 3600 + part(long, 2) * 60 + part(long, 3)) * 1000).when(text.rlike(short), (part(short, 1) * 60 + part(short, 2)) * 1000)
 
@@ -88,13 +105,21 @@ def context(text: Column, start: Column, end: Column, width: int = 12) -> tuple[
     return text.substr((first + 1).cast("int"), (start - first).cast("int")), text.substr((end + 1).cast("int"), F.lit(width))
 
 
-def sample_range(start_ms: Column, end_ms: Column, rate: int, total: int) -> Column:
+def sample_range(start_ms: Column, end_ms: Column, rate: Column | int, total: Column | int) -> Column:
     """Samples of a range in ms: rounded half to even, kept in the signal, one sample at least."""
-    a = F.least(F.greatest(F.bround(start_ms * rate / 1000).cast("long"), F.lit(0).cast("long")), F.lit(total - 1).cast("long"))
-    b = F.greatest(F.least(F.bround(end_ms * rate / 1000).cast("long"), F.lit(total).cast("long")), a + 1)
+    rate, total = (x if isinstance(x, Column) else F.lit(x) for x in (rate, total))
+    total = total.cast("long")
+    a = F.least(F.greatest(F.bround(start_ms * rate / 1000).cast("long"), F.lit(0).cast("long")), total - 1)
+    b = F.greatest(F.least(F.bround(end_ms * rate / 1000).cast("long"), total), a + 1)
     return F.struct(a.alias("start"), b.alias("end"))
 
 
+def sample_at(ms: Column, rate: Column | int, total: Column | int) -> Column:
+    """The sample at a time: rounded half to even, from 0 to total; null for null."""
+    rate, total = (x if isinstance(x, Column) else F.lit(x) for x in (rate, total))
+    return F.when(ms.isNotNull(), F.greatest(F.lit(0).cast("long"), F.least(total.cast("long"), F.bround(ms * rate / 1000).cast("long"))))
+
+
 def serialized_tokens(text: Column) -> Column:
     """Records `token start end;` as an array of (token, start, end); what doesn't parse goes."""
     pattern = r"^\s*(.*\S)\s+(-?\d+(?:\.\d+)?)\s+(-?\d+(?:\.\d+)?)\s*$"

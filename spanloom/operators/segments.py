@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from math import isfinite
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.operators.folds import fold
+
 
 def by_gap(tokens: DataFrame, keys: list[str], order: list[str], start: str, end: str, gap: int) -> DataFrame:
     """tokens with segment (from 0): a new one where a token starts `gap` or more after the furthest end."""
@@ -20,37 +24,61 @@ def by_gap_or_length(tokens: DataFrame, keys: list[str], order: list[str], start
 
     The segment's start moves with each cut, so this is a fold over the tokens of a key in order.
     """
-    row = F.struct(*[F.col(c) for c in order], F.col(start).alias("_s"), F.col(end).alias("_e"))
-    rows = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_t"))
-    zero = F.struct(F.lit(None).cast("long").alias("from"), F.lit(None).cast("long").alias("end"), F.lit(-1).cast("long").alias("segment"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(acc, t):
-        new = acc["from"].isNull() | (t["_s"] - acc["end"] >= gap) | (t["_s"] - acc["from"] >= longest)
-        n = acc["segment"] + new.cast("long")
-        return F.struct(F.when(new, t["_s"]).otherwise(acc["from"]).alias("from"), t["_e"].alias("end"), n.alias("segment"), F.concat(acc["out"], F.array(n)).alias("out"))
+    def step(state, s, e):
+        origin, before, segment, n = state
+        if origin is None or s - before >= gap or s - origin >= longest:
+            origin, segment = s, segment + 1
+        return (origin, e, segment, n + 1), n, segment
 
-    rows = rows.withColumn("_g", F.aggregate("_t", zero, step)["out"])
-    rows = rows.select(*keys, F.posexplode(F.arrays_zip("_t", "_g")).alias("token", "_z"))
-    return rows.select(*keys, F.col("token").cast("long").alias("token"), F.col("_z._t._s").alias("start"), F.col("_z._g").alias("segment"))
+    rows = tokens.select(*keys, *dict.fromkeys([*order, start, end]))
+    told = fold(rows, keys, order, [start, end], "token long, segment long", lambda: (None, None, -1, 0), step)
+    return told.select(*keys, "token", F.col(start).alias("start"), "segment")
 
 
-def accepted_timestamps(rows: DataFrame, keys: list[str], order: list[str], start: str, end: str, slack: float) -> DataFrame:
-    """keys, token (from 0), start, end, accepted: rows that do not fall behind what was accepted before.
+#: Tolerance and least length of a timestamp in ms, and the codes of what is rejected.
+EPSILON, SHORTEST = 5.0, 5.0
+UNREADABLE, INVALID, OUTSIDE, COLLAPSED, BACKWARDS = "timestamp_pair_invalid", "timestamp_interval_invalid", "timestamp_outside_window", "timestamp_collapsed_after_clamp", "timestamp_not_monotonic"
 
-    A row is rejected when its start or end, plus `slack`, lies before the largest start or end
-    among accepted rows; rejected rows do not move either, which a running maximum can't say.
-    """
-    row = F.struct(*[F.col(c) for c in order], F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"))
-    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_t"))
-    low = F.lit(float("-inf"))
-    zero = F.struct(low.alias("s"), low.alias("e"), F.array().cast("array<boolean>").alias("out"))
 
-    def step(acc, t):
-        ok = (t["_s"] + slack >= acc["s"]) & (t["_e"] + slack >= acc["e"])
-        return F.struct(F.when(ok, F.greatest(acc["s"], t["_s"])).otherwise(acc["s"]).alias("s"), F.when(ok, F.greatest(acc["e"], t["_e"])).otherwise(acc["e"]).alias("e"), F.concat(acc["out"], F.array(ok)).alias("out"))
+def judged(s: float | None, e: float | None, limit: float | None, latest: tuple[float, float]) -> tuple[str | None, float, float]:
+    """(code, start, end) of a timestamp relative to its window: code None if it is accepted, start and end within the window then.
 
-    grouped = grouped.withColumn("_ok", F.aggregate("_t", zero, step)["out"]).select(*keys, F.posexplode(F.arrays_zip("_t", "_ok")).alias("token", "_z"))
-    return grouped.select(*keys, F.col("token").cast("long").alias("token"), F.col("_z._t._s").alias("start"), F.col("_z._t._e").alias("end"), F.col("_z._ok").alias("accepted"))
+    limit is the length of the window, if known; latest the largest start and end accepted before.
+    """
+    if s is None or e is None:
+        return UNREADABLE, 0.0, 0.0
+    if not (isfinite(s) and isfinite(e)) or s < -EPSILON or e - s < SHORTEST:
+        return INVALID, 0.0, 0.0
+    if limit is not None and e > limit + EPSILON:
+        return OUTSIDE, 0.0, 0.0
+    s, e = max(0.0, s), e if limit is None else min(limit, e)
+    if e - s < SHORTEST:
+        return COLLAPSED, 0.0, 0.0
+    if s + EPSILON < latest[0] or e + EPSILON < latest[1]:
+        return BACKWARDS, 0.0, 0.0
+    return None, s, e
+
+
+def accepted_timestamps(rows: DataFrame, keys: list[str], order: list[str], start: str, end: str, scale: float = 1.0, from_ms: str | None = None, to_ms: str | None = None) -> DataFrame:
+    """keys, token (from 0), start_ms, end_ms, code: timestamps checked against their window and what was accepted before.
+
+    start and end count from the window's start, in milliseconds after scaling; from_ms and
+    to_ms name columns with the window. A rejected row has a code and no times, and moves
+    nothing: a running maximum can't say that, as it would take rejected rows along.
+    """
+    window = [F.col(c).cast("double") if c else F.lit(d).cast("double") for c, d in ((from_ms, 0.0), (to_ms, None))]
+    told = rows.select(*keys, *dict.fromkeys(order), F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"), window[0].alias("_from"), window[1].alias("_to"))
+
+    def step(state, s, e, first, last):
+        latest, n = state
+        code, a, b = judged(None if s is None else s * scale, None if e is None else e * scale, None if last is None else max(0.0, last - first), latest)
+        if code:
+            return (latest, n + 1), n, None, None, code
+        return ((max(latest[0], a), max(latest[1], b)), n + 1), n, a + first, b + first, None
+
+    found = fold(told, keys, order, ["_s", "_e", "_from", "_to"], "token long, start_ms double, end_ms double, code string", lambda: ((-1.0, -1.0), 0), step)
+    return found.select(*keys, "token", "start_ms", "end_ms", "code")
 
 
 def by_voice(tokens: DataFrame, ranges: DataFrame, key: str) -> DataFrame:

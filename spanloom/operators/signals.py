@@ -111,14 +111,19 @@ def best_crossing(signal: DataFrame, key: str, predicted: int, low: int, high: i
     """key, crossing: in [low, high] and within reach of predicted, the crossing of least score.
 
     The score is 0.75 local energy (RMS over radius on either side, by the largest in reach)
-    plus 0.25 distance (by reach); predicted itself where there is no crossing.
+    plus 0.25 distance (by reach); predicted itself where there is no crossing. Only the samples
+    in reach are looked at, so the first of them is a crossing only if it is zero.
     """
+    near = signal.where((F.col("sample") >= max(low, predicted - reach)) & (F.col("sample") <= min(high, predicted + reach)))
     line = Window.partitionBy(key).orderBy("sample")
     power = F.sqrt(F.avg(F.col("v") * F.col("v")).over(line.rowsBetween(-radius, radius)))
-    near = (F.col("sample") >= max(low, predicted - reach)) & (F.col("sample") <= min(high, predicted + reach))
-    with_power = signal.withColumn("_p", power)
-    found = zero_crossings(with_power, key).where(near)
-    peak = F.greatest(F.max("_p").over(Window.partitionBy(key)), F.lit(1e-12))
-    score = F.round(F.col("_p") / peak * 0.75 + F.abs(F.col("sample") - predicted) / reach * 0.25, 9)
-    best = found.withColumn("_score", score).groupBy(key).agg(F.min_by("sample", F.struct("_score", "sample")).alias("crossing"))
+    peak = F.max("_p").over(Window.partitionBy(key))
+    rows = near.withColumn("_p", power).withColumn("_peak", F.when(peak > 0, peak).otherwise(1.0))
+    score = F.round(0.75 * (F.col("_p") / F.col("_peak")) + 0.25 * (F.abs(F.col("sample") - predicted) / max(1, reach)), 9)
+    best = zero_crossings(rows, key).withColumn("_score", score).groupBy(key).agg(F.min_by("sample", F.struct("_score", "sample")).alias("crossing"))
     return signal.select(key).distinct().join(best, key, "left").select(key, F.coalesce("crossing", F.lit(predicted).cast("long")).alias("crossing"))
+
+
+def channel_rms(signal: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, sample, v: the root of the mean square over channels, which opposite phases don't cancel."""
+    return signal.groupBy(*keys, "sample").agg(F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("v"))

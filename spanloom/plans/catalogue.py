@@ -303,19 +303,31 @@ def ms_to_sample(spark, sf_dir):
 
 
 def judged(spark, sf_dir):
-    return scoring.approved(scoring.reasons(scoring.confidence(scoring.fused(scoring.flags(evidence(spark, sf_dir))))))
+    return scoring.judged(evidence(spark, sf_dir))
 
 
-@query(f"""WITH {EVIDENCE} SELECT l_orderkey, l_linenumber,
-  round(CASE WHEN force AND asr AND apart <= 120 THEN (fs + s) / 2 WHEN force AND asr AND NOT unstable AND local THEN fs WHEN asr THEN s WHEN force THEN fs ELSE base + 1 END, 4) AS start_ms,
-  round(CASE WHEN force AND asr AND apart <= 120 THEN (fe + t) / 2 WHEN force AND asr AND NOT unstable AND local THEN fe WHEN asr THEN t WHEN force THEN fe ELSE base + 2 END, 4) AS end_ms FROM ev""")
+@query(f"WITH {EVIDENCE} SELECT l_orderkey, l_linenumber, round(start_ms, 4) AS start_ms, round(end_ms, 4) AS end_ms FROM e3")
 def boundary_fusion(spark, sf_dir):
-    return judged(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round("start_ms", 4).alias("start_ms"), F.round("end_ms", 4).alias("end_ms"))
+    return scoring.fused(evidence(spark, sf_dir)).select("l_orderkey", "l_linenumber", F.round("start_ms", 4).alias("start_ms"), F.round("end_ms", 4).alias("end_ms"))
+
+
+@query(f"WITH {EVIDENCE} SELECT l_orderkey, l_linenumber, short, repeated, ambiguous, insufficient, disagreement, anomaly, coarse, confidence_unavailable, low_confidence, guard_missing FROM ev")
+def evidence_flags(spark, sf_dir):
+    names = ("short", "repeated", "ambiguous", "insufficient", "disagreement", "anomaly", "coarse", "confidence_unavailable", "low_confidence", "guard_missing")
+    return scoring.flags(scoring.fused(evidence(spark, sf_dir))).select("l_orderkey", "l_linenumber", *names)
+
+
+@query(f"""WITH {EVIDENCE} SELECT l_orderkey, l_linenumber, round_even(apart, 3) AS boundary_disagreement_ms, round_even(greatest(end_ms - start_ms, 0), 3) AS candidate_span_ms,
+  round_even(CASE WHEN force AND asr THEN least(am, fm) WHEN asr THEN am WHEN force THEN fm ELSE 0 END, 4) AS alignment_ambiguity_margin, split AS dp_forced_partition, CASE WHEN force THEN round_even(fs, 3) END AS force_start, CASE WHEN asr THEN round_even(t, 3) END AS asr_end, CASE WHEN asr THEN round_even(mc, 4) END AS asr_mean FROM ev""")
+def candidate_diagnostics(spark, sf_dir):
+    d = scoring.recorded(scoring.fused(evidence(spark, sf_dir)))
+    names = ("boundary_disagreement_ms", "candidate_span_ms", "alignment_ambiguity_margin", "dp_forced_partition")
+    return d.select("l_orderkey", "l_linenumber", *[f"diagnostics.{n}" for n in names], F.col("diagnostics.force_alignment.start_ms").alias("force_start"), F.col("diagnostics.asr_alignment.end_ms").alias("asr_end"), F.col("diagnostics.asr_alignment.mean_model_confidence").alias("asr_mean"))
 
 
 @query(f"WITH {EVIDENCE}, {SCORED} SELECT l_orderkey, l_linenumber, confidence FROM scored")
 def candidate_score(spark, sf_dir):
-    return scoring.confidence(scoring.flags(evidence(spark, sf_dir))).select("l_orderkey", "l_linenumber", "confidence")
+    return scoring.confidence(scoring.flags(scoring.fused(evidence(spark, sf_dir)))).select("l_orderkey", "l_linenumber", "confidence")
 
 
 @query(f"WITH {EVIDENCE}, {SCORED} SELECT l_orderkey, l_linenumber, array_to_string(reasons, ',') AS reasons FROM scored")
@@ -328,9 +340,10 @@ def reason_histogram(spark, sf_dir):
     return judged(spark, sf_dir).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {EVIDENCE}, {SCORED} SELECT len(reasons) = 0 AND force AND asr AND least(greatest(less, 0), 0.99) >= 0.82 AS auto, count(*) AS n FROM scored GROUP BY ALL")
+@query(f"""WITH {EVIDENCE}, {SCORED} SELECT l_orderkey, l_linenumber, force AND asr AND NOT short AND NOT repeated AND NOT ambiguous AND NOT insufficient AND NOT disagreement AND NOT unstable AND NOT anomaly AND NOT coarse
+  AND NOT confidence_unavailable AND NOT low_confidence AND NOT guard_missing AND located AND local AND confidence >= 0.82 AS auto FROM scored""")
 def auto_approve(spark, sf_dir):
-    return judged(spark, sf_dir).groupBy("auto").agg(F.count(F.lit(1)).alias("n"))
+    return judged(spark, sf_dir).select("l_orderkey", "l_linenumber", "auto")
 
 
 @query(f"WITH {TOKENS} SELECT user_id, precision, count(*) AS n, count(confidence) AS available FROM tokens GROUP BY ALL")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
@@ -30,3 +31,20 @@ def ship(spark: SparkSession) -> SparkSession:
                         out.write(full, os.path.join("spanloom", os.path.relpath(full, PACKAGE)))
         context.addPyFile(path)
     return spark
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: written as Parquet into the folder that the executors share (spark.checkpoint.dir), and read again.
+
+    What calls a model must not run again for each reader, nor when an executor is lost. Only in
+    local mode does a temporary folder stand in for a setting that is absent.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), f"spanloom-{os.getuid()}")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

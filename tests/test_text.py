@@ -71,9 +71,9 @@ def test_alignment_is_optimal_and_monotone():
 def test_anchored_alignment_finds_the_thinned_text():
     text = "thequickbrownfoxjumpsoverthelazydogandrunsaway"
     thin = text[:20] + text[21:]
-    found, margin, split = align.align(text, thin)
-    assert not split and 0 <= margin <= 1 and len(found) == len(thin)
-    assert all(text[i] == thin[j] for i, j, _ in found)
+    found = align.aligned(text, thin)
+    assert not found.split and 0 <= found.margin <= 1 and len(found.matches) == len(thin)
+    assert all(text[i] == thin[j] for i, j, _ in found.matches)
 
 
 def test_raw_results(spark):
