@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.operators.intervals import overlaps
+
+
+#: Fixed value of the stored format: why an annotation of older form needs review.
+LEGACY = "legacy_boundary_precision_unknown"
+
 
 def export_gate(candidates: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
     """keys, open, changed, ready: ready when nothing awaits review and every source has its old digest.
@@ -50,9 +56,23 @@ def confirmed(annotations: DataFrame, reviews: DataFrame, keys: list[str]) -> Da
 
 
 def widened(annotations: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
-    """annotations (keys, start, end) joined with the bounds of edits that overlap them."""
-    e = edits.groupBy(*keys).agg(F.min("start").alias("_s"), F.max("end").alias("_e"))
-    return annotations.join(e, keys, "left").withColumn("start", F.least("start", "_s")).withColumn("end", F.greatest("end", "_e")).drop("_s", "_e")
+    """annotations (keys, id, start, end) after edits (keys, id, start, end, wave_start, wave_end): one delete mark for each edit.
+
+    An edit takes in the annotations that its recognised range [start, end] touches, ends inclusive,
+    and keeps the first one's id; the bounds drawn in the waveform, where there are any, stand for
+    its own. Annotations that no edit touches stay. Ranges meet in cells, not all with all.
+    """
+    width = 1 << 16
+    left = edits.select(*keys, F.col("id").alias("_edit"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+    right = annotations.select(*keys, F.col("id").alias("_old"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    met = overlaps(left, right, keys, width, strict=False)
+    taken = met.groupBy(*keys, "_edit").agg(F.min_by("_old", F.struct("r_start", "r_end", "_old")).alias("_first"), F.min("r_start").alias("_s"), F.max("r_end").alias("_e"))
+    rows = edits.withColumnRenamed("id", "_edit").join(taken, [*keys, "_edit"], "left")
+    drawn = F.coalesce(F.col("wave_end") > F.col("wave_start"), F.lit(False))
+    start, end = F.when(drawn, F.col("wave_start")).otherwise(F.col("start")), F.when(drawn, F.col("wave_end")).otherwise(F.col("end"))
+    new = rows.select(*keys, F.coalesce("_first", "_edit").alias("id"), F.least(start, F.col("_s")).alias("start"), F.greatest(end, F.col("_e")).alias("end"))
+    rest = annotations.join(met.select(*keys, F.col("_old").alias("id")).distinct(), [*keys, "id"], "left_anti").select(*keys, "id", "start", "end")
+    return rest.unionByName(new)
 
 
 def with_preview(intervals: DataFrame, preview: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,7 +83,7 @@ def with_preview(intervals: DataFrame, preview: DataFrame, keys: list[str]) -> D
 def with_defaults(records: DataFrame) -> DataFrame:
     """Stored annotations of older form: without a review flag they need review, for a reason of their own."""
     old = F.col("review_required").isNull()
-    reasons = F.when(old, F.array(F.lit("legacy_record"))).otherwise(F.coalesce("review_reasons", F.array().cast("array<string>")))
+    reasons = F.when(old, F.array(F.lit(LEGACY))).otherwise(F.coalesce("review_reasons", F.array().cast("array<string>")))
     return records.withColumn("review_reasons", reasons).withColumn("review_required", F.coalesce("review_required", F.lit(True)))
 
 

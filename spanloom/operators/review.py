@@ -12,11 +12,23 @@ SELECTED = ("auto_approved", "approved")
 RANKS = {"character": 0, "token": 1, "segment": 2, "unknown": 3}
 
 
-def status_after(candidates: DataFrame, events: DataFrame) -> DataFrame:
-    """candidates (id, status) with the status that the latest event (id, at, action) leaves."""
-    last = events.groupBy("id").agg(F.max_by("action", "at").alias("_action"))
-    then = F.when(F.col("_action") == "approve", "approved").when(F.col("_action") == "skip", "skipped").when(F.col("_action") == "reset", "needs_review").otherwise(F.col("status"))
-    return candidates.join(last, "id", "left").withColumn("status", then).drop("_action")
+def status_after(candidates: DataFrame, events: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """candidates (id, status, review_required, final_start, final_end) as the events (id, action, start, end) leave them.
+
+    Events follow `order` (at, then action): approve sets the final bounds, both or neither - an approval with one of them
+    is none and ignored -; skip keeps them; reset clears them and goes back to review, or to automatic
+    approval where none is required.
+    """
+    order = order or ["at", "action"]
+    valid = events.where((F.col("action") != "approve") | (F.col("start").isNull() == F.col("end").isNull()))
+    line = F.struct(*order)
+    bounds = F.when(F.col("action").isin("approve", "reset"), line)
+    last = valid.groupBy("id").agg(F.max_by("action", line).alias("_action"), F.max_by(F.struct("action", "start", "end"), bounds).alias("_bounds"))
+    rows = candidates.join(last, "id", "left")
+    again = F.when(F.col("review_required"), "needs_review").otherwise("auto_approved")
+    then = F.when(F.col("_action") == "approve", "approved").when(F.col("_action") == "skip", "skipped").when(F.col("_action") == "reset", again).otherwise(F.col("status"))
+    final = lambda name: F.when(F.col("_bounds.action") == "approve", F.col(f"_bounds.{name}")).when(F.col("_bounds.action").isNull(), F.col(f"final_{name}"))
+    return rows.withColumns({"status": then, "final_start": final("start"), "final_end": final("end")}).drop("_action", "_bounds")
 
 
 def in_mode(mode: str) -> Column:
@@ -55,17 +67,27 @@ def annotations(marks: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "island").agg(F.min_by("id", F.struct("start", "end", "id")).alias("id"), F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+#: Fixed values of the stored format: why a fresh annotation needs review; confidence below which it is low.
+UNVERIFIED, COARSE, UNKNOWN, LOW = "boundary_precision_unverified", "coarse_timestamp", "model_confidence_unavailable", "low_model_confidence"
+LOW_CONFIDENCE = 0.5
+
+
 def token_facts(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, precisions (sorted), available, mean and least confidence (4 decimals), review flag."""
-    rows = tokens.groupBy(*keys).agg(
+    """keys, precisions (sorted), tokens, available, mean and least confidence (4 decimals), review_required, reasons.
+
+    A model's time is no cut boundary yet, so every fresh annotation needs review.
+    """
+    least = F.min("confidence")
+    told = {UNVERIFIED: F.lit(True), COARSE: F.bool_or(F.col("precision") != "character"), UNKNOWN: F.count("confidence") < F.count(F.lit(1)), LOW: least < LOW_CONFIDENCE}
+    return tokens.groupBy(*keys).agg(
         F.array_sort(F.collect_set("precision")).alias("precisions"),
+        F.count(F.lit(1)).alias("tokens"),
         F.count("confidence").alias("available"),
-        F.count(F.lit(1)).alias("_n"),
         F.bround(F.avg("confidence"), 4).alias("mean_confidence"),
-        F.bround(F.min("confidence"), 4).alias("min_confidence"),
+        F.bround(least, 4).alias("min_confidence"),
+        F.lit(True).alias("review_required"),
+        F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in told.items()])).alias("reasons"),
     )
-    review = (F.col("available") < F.col("_n")) | (F.col("min_confidence") < 0.40) | (F.size("precisions") > 1) | (F.element_at("precisions", 1) != "character")
-    return rows.withColumn("review_required", review).drop("_n")
 
 
 def violations(rows: DataFrame, id_column: str, rules: dict[str, Column]) -> DataFrame:

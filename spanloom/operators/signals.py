@@ -17,6 +17,23 @@ def envelope(signal: DataFrame, key: str, size: int) -> DataFrame:
     return signal.groupBy(key, F.floor(F.col("sample") / size).alias("block")).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"))
 
 
+def points_block(frames: int, rate: int, points: int = 200, least: int = 12_000, most: int = 600_000) -> int:
+    """The block size of one envelope with about so many points a second, between `least` and `most` of them."""
+    return max(1, -(-frames // min(most, max(least, round(frames / rate * points)))))
+
+
+def probed(signal: DataFrame, key: str, size: int) -> DataFrame:
+    """envelope's columns and frames, the samples that each signal has: one pass over the samples for both."""
+    rows = signal.groupBy(key, F.floor(F.col("sample") / size).alias("block")).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"), F.count(F.lit(1)).alias("_n"))
+    return rows.withColumn("frames", F.sum("_n").over(Window.partitionBy(key))).drop("_n")
+
+
+def window_of(signal: DataFrame, key: str, start_ms: float, end_ms: float, rate: int) -> DataFrame:
+    """signal between two times, its samples counted from the window's start. The bounds reach the scan as a filter on sample."""
+    first, last = max(0, round(start_ms * rate / 1000)), round(end_ms * rate / 1000)
+    return signal.where((F.col("sample") >= first) & (F.col("sample") < last)).withColumn("sample", F.col("sample") - first)
+
+
 def halved(level: DataFrame, key: str) -> DataFrame:
     """The next level: blocks in pairs. The mean square is not weighted, even for a part at the end."""
     return level.groupBy(key, F.floor(F.col("block") / 2).alias("block")).agg(F.min("min").alias("min"), F.max("max").alias("max"), F.sqrt(F.avg(F.col("rms") * F.col("rms"))).alias("rms"))
@@ -44,12 +61,30 @@ def viewport(level: DataFrame, key: str, first: int, last: int, most: int) -> Da
     return rows.groupBy(key, F.floor((F.col("block") - first) / step).alias("bucket")).agg(F.min("min").alias("min"), F.max("max").alias("max"))
 
 
+#: Samples of a block in which neighbours are looked up.
+BLOCK = 1 << 20
+
+
+def with_neighbour(signal: DataFrame, key: str, ahead: bool) -> DataFrame:
+    """signal with _near, the value of the next (ahead) or previous sample, null at the end of the signal.
+
+    Signals are cut into blocks, and the sample beyond a block's edge goes to both, so a task
+    holds a block and never a whole signal.
+    """
+    step = 1 if ahead else -1
+    own = F.floor(F.col("sample") / BLOCK)
+    other = F.floor((F.col("sample") - step) / BLOCK)
+    rows = signal.withColumn("_block", F.explode(F.array_distinct(F.array(own, other)))).withColumn("_own", F.col("_block") == own)
+    line = Window.partitionBy(key, "_block").orderBy("sample")
+    near = F.lead("v").over(line) if ahead else F.lag("v").over(line)
+    return rows.withColumn("_near", near).where("_own").drop("_own", "_block")
+
+
 def resampled(signal: DataFrame, key: str, rate: int, to: int = 16_000) -> DataFrame:
     """key, sample, v at another rate, between neighbours in proportion; the signal as it is at the same rate."""
     if rate == to:
         return signal.select(key, "sample", "v")
-    after = F.lead("v").over(Window.partitionBy(key).orderBy("sample"))
-    rows = signal.withColumn("_after", after)
+    rows = with_neighbour(signal, key, ahead=True).withColumnRenamed("_near", "_after")
     first, last = F.ceil(F.col("sample") * to / rate), F.ceil((F.col("sample") + 1) * to / rate) - 1
     rows = rows.withColumn("_last", F.when(F.col("_after").isNull(), F.when(first == F.col("sample") * to / rate, first)).otherwise(last)).where(F.col("_last") >= first)
     rows = rows.withColumn("_k", F.explode(F.sequence(first, F.col("_last"))))
@@ -101,10 +136,9 @@ def nearest_edge(edges: DataFrame, key: str, predicted: int, kind: str) -> DataF
 
 def zero_crossings(signal: DataFrame, key: str) -> DataFrame:
     """signal's rows that are zero, or whose sign bit differs from the sample before."""
-    line = Window.partitionBy(key).orderBy("sample")
     negative = lambda v: (v < 0) | (v.cast("string") == "-0.0")
-    before = F.lag("v").over(line)
-    return signal.withColumn("_x", (F.col("v") == 0) | (before.isNotNull() & (negative(F.col("v")) != negative(before)))).where("_x").drop("_x")
+    rows = with_neighbour(signal, key, ahead=False)
+    return rows.where((F.col("v") == 0) | (F.col("_near").isNotNull() & (negative(F.col("v")) != negative(F.col("_near"))))).drop("_near")
 
 
 def best_crossing(signal: DataFrame, key: str, predicted: int, low: int, high: int, reach: int, radius: int) -> DataFrame:

@@ -116,9 +116,8 @@ def envelope_viewport(spark, sf_dir):
     return signals.viewport(signals.envelope(signal(spark, sf_dir), "vec_id", 8), "vec_id", 1, 7, 3)
 
 
-@query(f"""WITH {SIGNAL}, k AS (SELECT vec_id, k, k * 3 / 2.0::DOUBLE AS pos FROM embeddings, (SELECT unnest(range(0, 43)) AS k))
-  SELECT k.vec_id, k.k AS sample, round(a.v + (pos - floor(pos)) * (coalesce(b.v, a.v) - a.v), 6) AS v FROM k JOIN signal a ON a.vec_id = k.vec_id AND a.sample = CAST(floor(pos) AS BIGINT) LEFT JOIN signal b ON b.vec_id = k.vec_id AND b.sample = a.sample + 1
-  WHERE pos <= 63""")
+@query("""WITH k AS (SELECT vec_id, embedding AS e, unnest(range(0, 43)) AS k FROM embeddings), p AS (SELECT vec_id, e, k, k * 3 // 2 AS i, (k * 3 % 2) / 2.0::DOUBLE AS part FROM k)
+  SELECT vec_id, k AS sample, round(CAST(e[i + 1] AS DOUBLE) + part * (CAST(coalesce(e[i + 2], e[i + 1]) AS DOUBLE) - CAST(e[i + 1] AS DOUBLE)), 6) AS v FROM p WHERE k * 3 <= 126""")
 def resample(spark, sf_dir):
     return rounded(signals.resampled(signal(spark, sf_dir), "vec_id", 24_000, 16_000), "v")
 
@@ -178,36 +177,37 @@ def zero_crossings(spark, sf_dir):
     return signals.zero_crossings(signal(spark, sf_dir), "vec_id").select("vec_id", "sample")
 
 
-@query(f"""WITH {CROSSINGS}, pw AS (SELECT *, sqrt(avg(v * v) OVER (PARTITION BY vec_id ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS p FROM signal),
-  c AS (SELECT cr.vec_id, cr.sample, p FROM cr JOIN pw USING (vec_id, sample) WHERE cr.sample BETWEEN 22 AND 38),
-  s AS (SELECT vec_id, sample, round(p / greatest(max(p) OVER (PARTITION BY vec_id), 1e-12) * 0.75::DOUBLE + abs(sample - 30) / 8.0::DOUBLE * 0.25::DOUBLE, 9) AS score FROM c),
+@query(f"""WITH {SIGNAL}, seg AS (SELECT * FROM signal WHERE sample BETWEEN 22 AND 38),
+  pw AS (SELECT *, sqrt(avg(v * v) OVER (PARTITION BY vec_id ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS p, lag(v) OVER (PARTITION BY vec_id ORDER BY sample) AS before FROM seg),
+  pk AS (SELECT *, max(p) OVER (PARTITION BY vec_id) AS peak FROM pw), c AS (SELECT * FROM pk WHERE v = 0 OR (before IS NOT NULL AND (v < 0) <> (before < 0))),
+  s AS (SELECT vec_id, sample, round(0.75::DOUBLE * (p / CASE WHEN peak > 0 THEN peak ELSE 1 END) + 0.25::DOUBLE * (abs(sample - 30) / 8.0::DOUBLE), 9) AS score FROM c),
   b AS (SELECT vec_id, sample FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score, sample) AS k FROM s) WHERE k = 1)
   SELECT e.vec_id, coalesce(b.sample, 30) AS crossing FROM embeddings e LEFT JOIN b ON b.vec_id = e.vec_id""")
 def best_zero_crossing(spark, sf_dir):
     return signals.best_crossing(signal(spark, sf_dir), "vec_id", 30, 0, 63, 8, 2)
 
 
-@query(f"""WITH {CUTS} SELECT l.project, l.o_orderkey AS l_key, r.o_orderkey AS r_key FROM cuts l JOIN cuts r ON l.project = r.project AND l.o_orderkey % 2 = 0 AND r.o_orderkey % 2 = 1 AND r.e > l.s AND r.s < l.e""")
+@query(f"""WITH {CUTS} SELECT l.project, l.o_orderkey AS l_key, r.o_orderkey AS r_key FROM cuts l JOIN cuts r ON l.project = r.project AND l.o_orderkey <> r.o_orderkey AND r.e > l.s AND r.s < l.e""")
 def token_selection_overlap(spark, sf_dir):
     rows = cuts(spark, sf_dir)
-    left = rows.where("o_orderkey % 2 = 0").select("project", F.col("start").alias("l_start"), F.col("end").alias("l_end"), F.col("o_orderkey").alias("l_key"))
-    right = rows.where("o_orderkey % 2 = 1").select("project", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("o_orderkey").alias("r_key"))
-    return intervals.overlaps(left, right, ["project"], 30).select("project", "l_key", "r_key")
+    left = rows.select("project", F.col("start").alias("l_start"), F.col("end").alias("l_end"), F.col("o_orderkey").alias("l_key"))
+    right = rows.select("project", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("o_orderkey").alias("r_key"))
+    return intervals.overlaps(left, right, ["project"], 30).where("l_key <> r_key").select("project", "l_key", "r_key")
 
 
-@query(f"""WITH {CUTS} SELECT l.project, l.o_orderkey AS l_key, min(r.s) AS voice_start, max(r.e) AS voice_end, count(*) AS ranges FROM cuts l JOIN cuts r ON l.project = r.project AND l.o_orderkey % 2 = 0 AND r.o_orderkey % 2 = 1 AND r.e >= l.s AND r.s <= l.e GROUP BY ALL""")
+@query(f"""WITH {CUTS} SELECT l.project, l.o_orderkey AS l_key, min(r.s) AS voice_start, max(r.e) AS voice_end, count(*) AS ranges FROM cuts l JOIN cuts r ON l.project = r.project AND l.o_orderkey <> r.o_orderkey AND r.e >= l.s AND r.s <= l.e GROUP BY ALL""")
 def voice_overlap(spark, sf_dir):
     rows = cuts(spark, sf_dir)
-    left = rows.where("o_orderkey % 2 = 0").select("project", F.col("start").alias("l_start"), F.col("end").alias("l_end"), F.col("o_orderkey").alias("l_key"))
-    right = rows.where("o_orderkey % 2 = 1").select("project", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    met = intervals.overlaps(left, right, ["project"], 30, strict=False)
+    left = rows.select("project", F.col("start").alias("l_start"), F.col("end").alias("l_end"), F.col("o_orderkey").alias("l_key"))
+    right = rows.select("project", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("o_orderkey").alias("r_key"))
+    met = intervals.overlaps(left, right, ["project"], 30, strict=False).where("l_key <> r_key")
     return met.groupBy("project", "l_key").agg(F.min("r_start").alias("voice_start"), F.max("r_end").alias("voice_end"), F.count(F.lit(1)).alias("ranges"))
 
 
-@query(f"""WITH {ISLANDS}, m AS (SELECT project, o_orderkey, (s + e) / 2 AS mid FROM cuts WHERE o_orderkey % 3 = 0), v AS (SELECT project, s, e, row_number() OVER (PARTITION BY project ORDER BY s) AS idx FROM merged)
+@query(f"""WITH {ISLANDS}, m AS (SELECT project, o_orderkey, (s + e) / 2 AS mid FROM cuts), v AS (SELECT project, s, e, row_number() OVER (PARTITION BY project ORDER BY s) AS idx FROM merged)
   SELECT m.project, m.o_orderkey, coalesce(min(v.idx), 0) AS range_index FROM m LEFT JOIN v ON v.project = m.project AND m.mid >= v.s - 5 AND m.mid <= v.e + 5 GROUP BY ALL""")
 def segment_lookup(spark, sf_dir):
-    points = cuts(spark, sf_dir).where("o_orderkey % 3 = 0").select("project", "o_orderkey", ((F.col("start") + F.col("end")) / 2).alias("mid"))
+    points = cuts(spark, sf_dir).select("project", "o_orderkey", ((F.col("start") + F.col("end")) / 2).alias("mid"))
     voice = interval_merge(spark, sf_dir).withColumn("idx", F.row_number().over(Window.partitionBy("project").orderBy("start")).cast("long"))
     left = points.select("project", "o_orderkey", F.col("mid").alias("l_start"), F.col("mid").alias("l_end"))
     right = voice.select("project", "idx", (F.col("start") - 5).alias("r_start"), (F.col("end") + 5).alias("r_end"))
@@ -281,13 +281,21 @@ def char_alignment(spark, sf_dir):
     return align.align_pairs(gram_texts(spark, sf_dir), "item_id")
 
 
-@query(f"""WITH {TOKENS}, d AS (SELECT user_id, event_id, day, row_number() OVER (PARTITION BY user_id, day ORDER BY event_id) - 1 AS token, value * 10 AS s, value * 10 + 40 AS e FROM (SELECT *, s // {240 * HOUR} AS day FROM tokens)),
-  r AS (SELECT user_id, day, token, s, e, true AS accepted, s AS ms, e AS me FROM d WHERE token = 0
-    UNION ALL SELECT d.user_id, d.day, d.token, d.s, d.e, d.s + 5 >= r.ms AND d.e + 5 >= r.me, CASE WHEN d.s + 5 >= r.ms AND d.e + 5 >= r.me THEN greatest(r.ms, d.s) ELSE r.ms END, CASE WHEN d.s + 5 >= r.ms AND d.e + 5 >= r.me THEN greatest(r.me, d.e) ELSE r.me END
-    FROM r JOIN d ON d.user_id = r.user_id AND d.day = r.day AND d.token = r.token + 1) SELECT user_id, day, token, s AS start, e AS "end", accepted FROM r""".replace("WITH", "WITH RECURSIVE", 1))
+@query(f"""WITH RECURSIVE {TOKENS}, t AS (SELECT user_id, event_id, s // {240 * HOUR} AS day, CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 13 = 0 THEN -0.02 WHEN event_id % 11 = 0 THEN -0.004 ELSE value / 100.0 END AS a,
+    CASE WHEN event_id % 17 = 0 THEN value / 100.0 + 0.003 WHEN event_id % 19 = 0 THEN value / 100.0 + 9 WHEN event_id % 11 = 0 THEN 0.002 ELSE value / 100.0 + 0.04 END AS b FROM tokens),
+  d AS (SELECT user_id, day, row_number() OVER (PARTITION BY user_id, day ORDER BY event_id) - 1 AS token, CAST(a AS DOUBLE) * 1000 AS s, CAST(b AS DOUBLE) * 1000 AS e FROM t),
+  k AS (SELECT *, greatest(s, 0.0::DOUBLE) AS cs, least(e, 8000.0::DOUBLE) AS ce, CASE WHEN s IS NULL OR e IS NULL THEN 'timestamp_pair_invalid' WHEN s < -5 OR e - s < 5 THEN 'timestamp_interval_invalid' WHEN e > 8005 THEN 'timestamp_outside_window'
+    WHEN least(e, 8000.0::DOUBLE) - greatest(s, 0.0::DOUBLE) < 5 THEN 'timestamp_collapsed_after_clamp' END AS early FROM d),
+  r AS (SELECT user_id, day, token, CASE WHEN early IS NULL THEN cs + 500 END AS start_ms, CASE WHEN early IS NULL THEN ce + 500 END AS end_ms, early AS code, CASE WHEN early IS NULL THEN greatest(cs, -1.0::DOUBLE) ELSE -1.0::DOUBLE END AS ms, CASE WHEN early IS NULL THEN greatest(ce, -1.0::DOUBLE) ELSE -1.0::DOUBLE END AS me FROM k WHERE token = 0
+    UNION ALL SELECT user_id, day, token, CASE WHEN ok THEN cs + 500 END, CASE WHEN ok THEN ce + 500 END, CASE WHEN early IS NOT NULL THEN early WHEN NOT ok THEN 'timestamp_not_monotonic' END, CASE WHEN ok THEN greatest(ms, cs) ELSE ms END, CASE WHEN ok THEN greatest(me, ce) ELSE me END
+    FROM (SELECT k.user_id, k.day, k.token, cs, ce, early, ms, me, early IS NULL AND cs + 5 >= ms AND ce + 5 >= me AS ok FROM r JOIN k ON k.user_id = r.user_id AND k.day = r.day AND k.token = r.token + 1))
+  SELECT user_id, day, token, round(start_ms, 6) AS start_ms, round(end_ms, 6) AS end_ms, code FROM r""")
 def validated_timestamps(spark, sf_dir):
-    rows = tokens(spark, sf_dir).select("user_id", "event_id", F.floor(F.col("start") / (240 * HOUR)).alias("day"), (F.col("value") * 10).alias("s"), (F.col("value") * 10 + 40).alias("e"))
-    return segments.accepted_timestamps(rows, ["user_id", "day"], ["event_id"], "s", "e", 5)
+    k, v = F.col("event_id"), F.col("value") / F.lit(100.0)
+    a = F.when(k % 31 == 0, F.lit(None)).when(k % 13 == 0, -0.02).when(k % 11 == 0, -0.004).otherwise(v)
+    b = F.when(k % 17 == 0, v + 0.003).when(k % 19 == 0, v + 9).when(k % 11 == 0, 0.002).otherwise(v + 0.04)
+    rows = tokens(spark, sf_dir).select("user_id", "event_id", F.floor(F.col("start") / (240 * HOUR)).alias("day"), a.alias("a"), b.alias("b"), F.lit(500.0).alias("from_ms"), F.lit(8500.0).alias("to_ms"))
+    return rounded(segments.accepted_timestamps(rows, ["user_id", "day"], ["event_id"], "a", "b", 1000.0, "from_ms", "to_ms"), "start_ms", "end_ms")
 
 
 @query(f"WITH {TOKENS} SELECT event_id, CAST(i - 1 AS BIGINT) AS pos, text[i] AS letter, s AS start, e AS \"end\" FROM tokens, LATERAL (SELECT unnest(range(1, length(text) + 1)) AS i) WHERE text[i] NOT IN ('_', '-', ' ')")
@@ -354,22 +362,42 @@ def precision_histogram(spark, sf_dir):
 def candidates(spark, sf_dir):
     rows = table(spark, sf_dir, "labels")
     status = F.when(F.col("toxic") == 1, "skipped").when(F.col("quality") == 1, "auto_approved").otherwise("needs_review")
-    return rows.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 20).alias("project"), status.alias("status"), F.col("doc_id").alias("start"), (F.col("doc_id") + 5 + F.col("doc_id") % 9).alias("end"))
+    rows = rows.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 20).alias("project"), status.alias("status"), F.col("doc_id").alias("start"), (F.col("doc_id") + 5 + F.col("doc_id") % 9).alias("end"))
+    return rows.withColumns({"review_required": (F.col("status") == "needs_review") | ((F.col("status") == "skipped") & (F.col("id") % 2 == 0)), "final_start": F.lit(None).cast("long"), "final_end": F.lit(None).cast("long")})
 
 
-CANDIDATES = "cand AS (SELECT doc_id AS id, doc_id % 20 AS project, CASE WHEN toxic = 1 THEN 'skipped' WHEN quality = 1 THEN 'auto_approved' ELSE 'needs_review' END AS status, doc_id AS s, doc_id + 5 + doc_id % 9 AS e FROM labels)"
-REVIEWED = f"""{CANDIDATES}, acts AS (SELECT user_id AS id, event_id AS seq, (['approve', 'skip', 'reset'])[event_id % 3 + 1] AS action FROM events WHERE event_id % 5 = 0),
-  la AS (SELECT id, arg_max(action, seq) AS action FROM acts GROUP BY id), rev AS (SELECT c.id, project, s, e, CASE action WHEN 'approve' THEN 'approved' WHEN 'skip' THEN 'skipped' WHEN 'reset' THEN 'needs_review' ELSE status END AS status FROM cand c LEFT JOIN la ON la.id = c.id)"""
+CANDIDATES = """cand AS (SELECT doc_id AS id, doc_id % 20 AS project, CASE WHEN toxic = 1 THEN 'skipped' WHEN quality = 1 THEN 'auto_approved' ELSE 'needs_review' END AS status, doc_id AS s, doc_id + 5 + doc_id % 9 AS e,
+  CASE WHEN toxic = 1 THEN doc_id % 2 = 0 WHEN quality = 1 THEN false ELSE true END AS review_required FROM labels)"""
+REVIEWED = f"""{CANDIDATES}, acts AS (SELECT user_id AS id, event_id AS seq, (['approve', 'skip', 'reset'])[event_id % 3 + 1] AS action, CASE WHEN event_id % 4 < 2 THEN event_id END AS a, CASE WHEN event_id % 4 IN (0, 2) THEN event_id + 9 END AS b FROM events),
+  valid AS (SELECT * FROM acts WHERE action <> 'approve' OR (a IS NULL) = (b IS NULL)), la AS (SELECT id, arg_max(action, seq) AS action FROM valid GROUP BY id),
+  lb AS (SELECT id, action AS bound, a, b FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS k FROM valid WHERE action IN ('approve', 'reset')) WHERE k = 1),
+  rev AS (SELECT c.id, project, s, e, review_required, CASE la.action WHEN 'approve' THEN 'approved' WHEN 'skip' THEN 'skipped' WHEN 'reset' THEN CASE WHEN review_required THEN 'needs_review' ELSE 'auto_approved' END ELSE status END AS status,
+    CASE WHEN bound = 'approve' THEN a END AS final_start, CASE WHEN bound = 'approve' THEN b END AS final_end FROM cand c LEFT JOIN la ON la.id = c.id LEFT JOIN lb ON lb.id = c.id)"""
 
 
-@query(f"WITH {REVIEWED} SELECT id, status FROM rev")
+@query(f"WITH {REVIEWED} SELECT id, status, final_start, final_end FROM rev")
 def review_fold(spark, sf_dir):
-    return reviewed(spark, sf_dir).select("id", "status")
+    return reviewed(spark, sf_dir).select("id", "status", "final_start", "final_end")
+
+
+@query(f"WITH {REVIEWED} SELECT id, coalesce(final_start, s) AS start, coalesce(final_end, e) AS \"end\" FROM rev")
+def effective_intervals(spark, sf_dir):
+    rows = reviewed(spark, sf_dir).withColumnsRenamed({"start": "suggested_start", "end": "suggested_end"})
+    return rows.select("id", review.effective("start").alias("start"), review.effective("end").alias("end"))
+
+
+@query(f"WITH {REVIEWED} SELECT 'all' AS mode, count(*) AS n FROM rev UNION ALL SELECT 'needs', count(*) FILTER (status = 'needs_review') FROM rev UNION ALL SELECT 'selected', count(*) FILTER (status IN ('auto_approved', 'approved')) FROM rev UNION ALL SELECT 'skipped', count(*) FILTER (status = 'skipped') FROM rev")
+def review_modes(spark, sf_dir):
+    rows = reviewed(spark, sf_dir)
+    modes = ("all", "needs", "selected", "skipped")
+    told = rows.agg(*[F.count_if(review.in_mode(m)).alias(m) for m in modes])
+    return told.unpivot([], list(modes), "mode", "n").select("mode", "n")
 
 
 def reviewed(spark, sf_dir):
     action = F.element_at(F.array(*[F.lit(x) for x in ("approve", "skip", "reset")]), (F.col("event_id") % 3 + 1).cast("int"))
-    events = table(spark, sf_dir, "events").where("event_id % 5 = 0").select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), action.alias("action"))
+    k = F.col("event_id")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), k.alias("at"), action.alias("action"), F.when(k % 4 < 2, k).alias("start"), F.when(k % 4 % 2 == 0, k + 9).alias("end"))
     return review.status_after(candidates(spark, sf_dir), events)
 
 
@@ -396,11 +424,11 @@ def annotation_merge(spark, sf_dir):
     return review.annotations(cuts(spark, sf_dir).withColumnRenamed("o_orderkey", "id"), ["project"])
 
 
-@query(f"""WITH {TOKENS} SELECT user_id, array_to_string(list_sort(list(DISTINCT precision)), ',') AS precisions, count(confidence) AS available, min(confidence) AS min_confidence,
-  count(confidence) < count(*) OR min(confidence) < 0.4 OR count(DISTINCT precision) > 1 OR min(precision) <> 'character' AS review_required FROM tokens GROUP BY ALL""")
+@query(f"""WITH {TOKENS} SELECT user_id, array_to_string(list_sort(list(DISTINCT precision)), ',') AS precisions, count(confidence) AS available, round_even(avg(confidence), 4) AS mean_confidence, round_even(min(confidence), 4) AS min_confidence,
+  array_to_string(list_filter(['boundary_precision_unverified', CASE WHEN bool_or(precision <> 'character') THEN 'coarse_timestamp' END, CASE WHEN count(confidence) < count(*) THEN 'model_confidence_unavailable' END, CASE WHEN min(confidence) < 0.5 THEN 'low_model_confidence' END], lambda x: x IS NOT NULL), ',') AS reasons FROM tokens GROUP BY ALL""")
 def annotation_metadata(spark, sf_dir):
     rows = review.token_facts(tokens(spark, sf_dir), ["user_id"])
-    return rows.select("user_id", F.array_join("precisions", ",").alias("precisions"), "available", "min_confidence", "review_required")
+    return rows.select("user_id", F.array_join("precisions", ",").alias("precisions"), "available", "mean_confidence", "min_confidence", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(f"""WITH {TOKENS} SELECT event_id, rule FROM (SELECT event_id, unnest(list_filter([CASE WHEN e <= s THEN 'empty' END, CASE WHEN confidence IS NULL THEN 'no_confidence' END, CASE WHEN confidence > 0.95 THEN 'too_sure' END], lambda x: x IS NOT NULL)) AS rule FROM tokens)""")
@@ -422,19 +450,19 @@ def source_fingerprint(spark, sf_dir):
 @query("""WITH f AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS size, sha256(html) AS sha256 FROM pages) SELECT a.page_id, b.page_id AS stored FROM f a JOIN f b ON a.size = b.size AND a.sha256 = b.sha256 WHERE b.page_id % 2 = 0""")
 def reuse_lookup(spark, sf_dir):
     own = source_fingerprint(spark, sf_dir)
-    stored = own.where("page_id % 4 < 3").select("size", "sha256", F.col("page_id").alias("stored"), F.when(F.col("page_id") % 2 == 0, "v1").otherwise("v0").alias("strategy"))
+    stored = own.select("size", "sha256", F.col("page_id").alias("stored"), F.when(F.col("page_id") % 2 == 0, "v1").otherwise("v0").alias("strategy"))
     return review.reusable(own, stored, "v1").select("page_id", "stored")
 
 
-LINES = "lines AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN printf('%d:%02d', turn, conv_id % 60) ELSE text END AS text FROM conversations)"
+LINES = "lines AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '\u53d1\u8a00\u4eba A ' || printf('%d:%02d', turn, conv_id % 60) ELSE text END AS text FROM conversations)"
 
 
 def lines(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.format_string("%d:%02d", "turn", F.col("conv_id") % 60)).otherwise(F.col("text")).alias("text"))
+    return rows.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.format_string(f"{T.SPEAKER} A %d:%02d", "turn", F.col("conv_id") % 60)).otherwise(F.col("text")).alias("text"))
 
 
-@query(f"WITH {LINES} SELECT conv_id, turn, CASE WHEN regexp_full_match(text, '\\d{{1,3}}:[0-5]\\d') THEN (CAST(split_part(text, ':', 1) AS BIGINT) * 60 + CAST(split_part(text, ':', 2) AS BIGINT)) * 1000 END AS anchor_ms FROM lines")
+@query(f"WITH {LINES} SELECT conv_id, turn, CASE WHEN regexp_full_match(text, '\u53d1\u8a00\u4eba A \\d{{1,3}}:[0-5]\\d') THEN (CAST(regexp_extract(text, '(\\d+):', 1) AS BIGINT) * 60 + CAST(split_part(text, ':', 2) AS BIGINT)) * 1000 END AS anchor_ms FROM lines")
 def anchor_parse(spark, sf_dir):
     return lines(spark, sf_dir).select("conv_id", "turn", T.anchor_ms(F.col("text")).alias("anchor_ms"))
 
@@ -498,12 +526,13 @@ def stream_gap_sessions(spark, sf_dir):
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
 
 
-@query("""WITH t AS (SELECT doc_id, text, text[11:13] AS target, text[3:21] AS wide FROM documents WHERE length(text) >= 40),
-  n AS (SELECT doc_id, len(list_filter(range(1, length(text) - 1), lambda i: text[i:i + 2] = target)) AS a, len(list_filter(range(1, greatest(length(text) - 17, 1)), lambda i: text[i:i + 18] = wide)) AS b FROM t)
+@query(f"""WITH t AS (SELECT doc_id, {NORM} AS norm, {NORM.replace("text", "substring(text, 11, 4)")} AS target, right({NORM.replace("text", "substring(text, 1, 10)")}, 8) AS before, left({NORM.replace("text", "substring(text, 15, 12)")}, 8) AS after FROM documents),
+  n AS (SELECT doc_id, target, len(list_filter(range(1, length(norm) + 1), lambda i: length(target) > 0 AND norm[i:i + length(target) - 1] = target)) AS a, len(list_filter(range(1, length(norm) + 1), lambda i: norm[i:i + length(before || target || after) - 1] = before || target || after)) AS b FROM t)
   SELECT doc_id, a > 1 AND b <> 1 AS repeated FROM n""")
 def repeated_context(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.length("text") >= 40)
-    return rows.select("doc_id", labels.is_repeated(F.col("text"), F.lit(10), F.lit(13)).alias("repeated"))
+    part = lambda a, n: T.normalized(F.substring("text", a, n))
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", labels.is_repeated(T.normalized(F.col("text")), part(11, 4), part(1, 10), part(15, 12)).alias("repeated"))
 
 
 @query("""SELECT conv_id, turn, round(turn * 1000 + 2 * 5000.0::DOUBLE / greatest(length(text), 1), 6) AS start_ms, round(turn * 1000 + 5 * 5000.0::DOUBLE / greatest(length(text), 1), 6) AS end_ms FROM conversations""")
@@ -527,12 +556,30 @@ def undo_history(spark, sf_dir):
     return projects.history(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", 20)
 
 
-@query(f"""WITH {TOKENS} SELECT user_id, CAST(s // {HOUR * 24} AS BIGINT) AS day, round(avg(s / 1e6), 3) AS start, round(avg(e / 1e6), 3) AS "end", min(confidence) AS min_confidence, round(avg(confidence), 6) AS mean_confidence,
-  bool_and(precision <> 'segment') AS valid, round(greatest(max(s) - min(s), max(e) - min(e)) / 1e6, 3) AS spread, count(*) AS contexts FROM tokens GROUP BY ALL""")
+CONTEXTS = f"""ctx AS (SELECT user_id, CAST(s // {24 * HOUR} AS BIGINT) AS day, event_id AS radius, value * 10 AS start_ms, value * 10 + 300 + event_id % 3 * 20 AS end_ms, (event_id % 50 + 50) / 100.0::DOUBLE AS coverage, confidence, precision, (event_id % 10) / 10.0::DOUBLE AS margin, event_id % 29 <> 0 AS valid FROM tokens)"""
+
+
+def contexts(spark, sf_dir):
+    k = F.col("event_id")
+    return tokens(spark, sf_dir).select(
+        "user_id", F.floor(F.col("start") / (24 * HOUR)).alias("day"), k.alias("radius"), (F.col("value") * 10).alias("start_ms"), (F.col("value") * 10 + 300 + k % 3 * 20).alias("end_ms"), ((k % 50 + 50) / F.lit(100.0)).alias("coverage"), F.col("confidence").alias("mean_confidence"), F.col("confidence").alias("min_confidence"),
+        F.col("confidence").alias("low_share"), "precision", ((k % 10) / F.lit(10.0)).alias("margin"), (k % 29 != 0).alias("valid"), F.lit(1.0).alias("confidence_coverage"), F.lit(None).cast("double").alias("voice_start"), F.lit(None).cast("double").alias("voice_end"),
+    )
+
+
+@query(f"""WITH {TOKENS}, {CONTEXTS} SELECT user_id, day, round(avg(start_ms), 6) AS start_ms, round(avg(end_ms), 6) AS end_ms, min(coverage) AS coverage, round(avg(confidence), 6) AS mean_confidence, min(confidence) AS min_confidence, max(confidence) AS low_share,
+  (['character', 'token', 'segment'])[max(list_position(['character', 'token', 'segment'], precision))] AS precision, min(margin) AS margin, bool_and(valid) AS valid, round(greatest(max(start_ms) - min(start_ms), max(end_ms) - min(end_ms)), 6) AS spread, count(*) AS contexts FROM ctx GROUP BY ALL""")
 def averaged_ranges(spark, sf_dir):
-    rows = tokens(spark, sf_dir).select("user_id", F.floor(F.col("start") / (24 * HOUR)).alias("day"), (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"), "confidence", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("margin"), (F.col("precision") != "segment").alias("valid"))
-    out = refine.averaged(rows, ["user_id", "day"])
-    return out.select("user_id", "day", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "min_confidence", F.round("mean_confidence", 6).alias("mean_confidence"), "valid", F.round("spread", 3).alias("spread"), "contexts")
+    out = refine.averaged(contexts(spark, sf_dir), ["user_id", "day"]).drop("confidence_coverage", "voice_start", "voice_end")
+    return rounded(out, "start_ms", "end_ms", "mean_confidence", "spread")
+
+
+@query(f"""WITH {TOKENS}, {CONTEXTS}, g AS (SELECT user_id, day, avg(start_ms) AS s, avg(end_ms) AS e, min(coverage) AS c, greatest(max(start_ms) - min(start_ms), max(end_ms) - min(end_ms)) > 80 AS unstable, count(*) AS contexts FROM ctx GROUP BY ALL),
+  f AS (SELECT user_id, day, start_ms, end_ms, coverage FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY radius) AS k FROM ctx) WHERE k = 1)
+  SELECT user_id, day, round(CASE WHEN unstable THEN start_ms ELSE s END, 6) AS start_ms, round(CASE WHEN unstable THEN end_ms ELSE e END, 6) AS end_ms, CASE WHEN unstable THEN coverage ELSE c END AS coverage, unstable, NOT unstable AND contexts > 1 AS consensus, contexts FROM g JOIN f USING (user_id, day)""")
+def context_consensus(spark, sf_dir):
+    out = refine.consensus(contexts(spark, sf_dir), ["user_id", "day"], "radius")
+    return rounded(out.select("user_id", "day", "start_ms", "end_ms", "coverage", "unstable", "consensus", "contexts"), "start_ms", "end_ms")
 
 
 @query(f"""WITH {REVIEWED}, o AS (SELECT project, count(*) FILTER (status = 'needs_review') AS open FROM rev GROUP BY ALL), c AS (SELECT page_id % 20 AS project, count(*) FILTER (page_id % 7 = 0) AS changed FROM pages GROUP BY ALL)
@@ -571,15 +618,14 @@ def clipped_spans(spark, sf_dir):
 
 @query()
 def refine_cuts(spark, sf_dir):
-    """A predicted cut for each user over the user's own signal: edges of energy, crossings of the mean."""
+    """A predicted cut for each user over the user's own signal, centred, at 100 samples a second."""
     heard = loudness(spark, sf_dir)
-    line = Window.partitionBy("user_id")
-    centred = heard.select("user_id", "sample", (F.col("v") - F.avg("v").over(line)).alias("v"))
-    peak = F.max(F.abs("v")).over(line)
-    crossings = signals.zero_crossings(centred.withColumn("energy", F.abs("v") / F.greatest(peak, F.lit(1e-12))), "user_id")
-    cand = heard.groupBy("user_id").agg(F.max("sample").alias("n")).where("n >= 60")
-    cand = cand.select("user_id", F.lit(20).cast("long").alias("predicted_start"), F.lit(45).cast("long").alias("predicted_end"), F.when(F.col("user_id") % 2 == 0, F.lit(8).cast("long")).alias("left_guard"), F.when(F.col("user_id") % 3 == 0, F.lit(60).cast("long")).alias("right_guard"), F.when(F.col("user_id") % 5 == 0, F.lit(22).cast("long")).alias("vad_start"), F.lit(None).cast("long").alias("vad_end"))
-    return refine.refine(cand, signals.energy_edges(heard, "user_id", 2, 1), crossings, "user_id", "user_id", 1000, 61).select("user_id", "refined_start", "refined_end", "expanded", "reverted", "review_required")
+    centred = heard.join(heard.groupBy("user_id").agg(F.avg("v").alias("_m"), F.max("sample").alias("n")), "user_id").withColumn("v", F.col("v") - F.col("_m"))
+    cand = centred.groupBy("user_id").agg(F.max("n").alias("n")).select(
+        "user_id", F.floor(F.col("n") / 4).alias("predicted_start"), F.floor(F.col("n") * 3 / 4).alias("predicted_end"), F.when(F.col("user_id") % 2 == 0, F.floor(F.col("n") / 8)).alias("left_guard"), F.when(F.col("user_id") % 3 == 0, F.floor(F.col("n") * 7 / 8)).alias("right_guard"),
+        F.when(F.col("user_id") % 5 == 0, F.floor(F.col("n") / 4) + 2).alias("vad_start"), F.lit(None).cast("long").alias("vad_end"),
+    )
+    return refine.refine(cand, centred.select("user_id", "sample", "v"), "user_id", "user_id", 100).select("user_id", "refined_start", "refined_end", "expanded", "review_required", "review_reasons", "start_method", "end_method")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

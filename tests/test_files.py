@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from spanloom import sinks, streaming
+from spanloom.operators import signals
 from spanloom.plans import session
 from spanloom.sources import wav
 
@@ -22,6 +23,37 @@ def test_wav_source(spark, tmp_path):
     assert [(r.sample, r.channel, r.v) for r in rows] == [(0, 0, 0.0), (0, 1, 0.5), (1, 0, -1.0), (1, 1, 0.25)]
 
 
+def test_wav_ranges_and_headers(spark, tmp_path, monkeypatch):
+    session.ship(spark)
+    with wave.open(str(tmp_path / "a.wav"), "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(1000)
+        f.writeframes(np.arange(300, dtype="<i2").tobytes())
+    monkeypatch.setattr(wav, "RANGE", 64)
+    assert [(p.first, p.last) for p in wav.WavReader(str(tmp_path), 100, 260).partitions()] == [(100, 164), (164, 228), (228, 260)]
+    wav.register(spark)
+    part = spark.read.format("pcm_wav").option("first", 100).option("last", 260).load(str(tmp_path))
+    assert sorted((r.sample, round(r.v * 32768)) for r in part.collect()) == [(k, k) for k in range(100, 260)]
+    info = spark.read.format("pcm_wav_info").load(str(tmp_path)).first()
+    assert (info.sample_rate, info.channels, info.total_samples, info.duration_ms, info.codec_name) == (1000, 1, 300, 300, "pcm_s16le")
+    whole = spark.read.format("pcm_wav").load(str(tmp_path))
+    told = signals.probed(whole, "path", 100).orderBy("block").collect()
+    assert [(r.block, round(r.max * 32768), r.frames) for r in told] == [(0, 99, 300), (1, 199, 300), (2, 299, 300)]
+    cut = signals.window_of(whole, "path", 50, 60, 1000)
+    assert sorted((r.sample, round(r.v * 32768)) for r in cut.collect()) == [(k, 50 + k) for k in range(10)]
+    (tmp_path / "b.wav").write_bytes(b"no audio")
+    with pytest.raises((ValueError, EOFError, wave.Error)):
+        wav.WavReader(str(tmp_path)).partitions()
+
+    class LessThan:
+        attribute, value = ("sample",), 70
+
+    reader = wav.WavReader(str(tmp_path / "a.wav"))
+    assert list(reader.pushFilters([LessThan()])) == [] and [(p.first, p.last) for p in reader.partitions()] == [(0, 64), (64, 70)]
+    assert signals.points_block(48_000 * 10, 48_000) == 40 and signals.points_block(48_000 * 600, 48_000) == 240
+
+
 def document(body: str) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -36,6 +68,8 @@ def test_docx_source(spark, tmp_path):
     wav.register(spark)
     rows = spark.read.format("docx_runs").load(str(tmp_path)).orderBy("run").collect()
     assert [(r.paragraph, r.text, r.highlight) for r in rows] == [(0, "ab", None), (0, "cd\t", "yellow")]
+    hyphens = document("<w:p><w:r><w:t>a</w:t><w:noBreakHyphen/><w:t>b</w:t><w:softHyphen/><w:t>c</w:t></w:r></w:p>")
+    assert [x[2] for x in wav.runs_of(io.BytesIO(hyphens))] == ["a\u2011b\u00adc"]
     with pytest.raises(ValueError):
         list(wav.runs_of(io.BytesIO(b"no archive")))
 

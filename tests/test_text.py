@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import align, markup, review, scoring
-from spanloom.sources.raw_results import tokens, voice_ranges
 
 
 def one(spark, column, **values):
@@ -25,7 +24,7 @@ def test_overlapping_occurrences(spark):
 
 
 def test_anchors_and_clock(spark):
-    assert [one(spark, T.anchor_ms(F.col("t")), t=t) for t in ("0:01", "1:02:03", "00:60", "x", " 12:00 ")] == [1000, 3723000, None, None, 720000]
+    assert [one(spark, T.anchor_ms(F.col("t")), t=t) for t in (f"{T.SPEAKER} 0:01", f"{T.SPEAKER} A B 1:02:03", f"{T.SPEAKER} 00:60", "x", f" {T.SPEAKER}\u3000 12:00 ", "0:01", f"{T.SPEAKER} 1:02\n")] == [1000, 3723000, None, None, 720000, None, None]
     assert one(spark, T.clock(F.col("t")), t=3723999) == "01:02:03"
 
 
@@ -76,14 +75,6 @@ def test_anchored_alignment_finds_the_thinned_text():
     assert all(text[i] == thin[j] for i, j, _ in found.matches)
 
 
-def test_raw_results(spark):
-    rows = [(1, '{"text": "a b c", "timestamp": [[0, 100], [100, 200], [200, 300]]}'), (2, '{"text": "", "sentence_info": [{"text": "hi", "start": 5, "end": 9}]}'), (3, '{"text": "xyz", "timestamp": [[0, 1]], "value": [[90, 800], [1200, 2500]]}'), (4, '{"text": "abcde", "time_stamp": [[0, 1], [1, 2]]}')]
-    df = spark.createDataFrame(rows, "id long, raw string")
-    got = [(r.id, r.text, r.start_ms, r.precision) for r in tokens(df, "id", offset=500.0).orderBy("id", "token").collect()]
-    assert got == [(1, "a", 500.0, "character"), (1, "b", 600.0, "character"), (1, "c", 700.0, "character"), (2, "hi", 505.0, "segment"), (3, "xyz", 500.0, "token"), (4, "ab", 500.0, "token"), (4, "cde", 501.0, "token")]
-    assert voice_ranges(df, "id").count() == 2
-
-
 def test_highlights_coalesce(spark):
     runs = spark.createDataFrame([(0, 0, "ab", None), (0, 1, "cd", "yellow"), (0, 2, "ef", "YELLOW"), (0, 3, "g", "red"), (0, 4, "h", "yellow")], "p int, run int, text string, highlight string")
     got = sorted((r.start, r.end, r.text) for r in markup.highlights(runs, ["p"], F.lower("highlight") == "yellow").collect())
@@ -91,12 +82,12 @@ def test_highlights_coalesce(spark):
 
 
 def test_score_without_evidence(spark):
-    row = dict(length=5, repeated=False, force_start=None, force_end=None, asr_start=None, asr_end=None, force_coverage=0.0, asr_coverage=0.0, precision="character", margin=1.0, split=False, confidence_coverage=0.0, mean_confidence=None, min_confidence=None, low_share=None, left_guard=0.0, right_guard=1.0, unstable=False, invalid=False, local=False, proportional_start=1.0, proportional_end=2.0)
-    schema = "length long, repeated boolean, force_start double, force_end double, asr_start double, asr_end double, force_coverage double, asr_coverage double, precision string, margin double, split boolean, confidence_coverage double, mean_confidence double, min_confidence double, low_share double, left_guard double, right_guard double, unstable boolean, invalid boolean, local boolean, proportional_start double, proportional_end double"
-    df = spark.createDataFrame([tuple(row.values())], schema)
-    out = scoring.approved(scoring.reasons(scoring.confidence(scoring.fused(scoring.flags(df))))).first()
+    ranges = ", ".join(f"CAST(NULL AS {'string' if n == 'precision' else 'boolean' if n == 'valid' else 'double'}) AS {e}_{n}" for e in ("force", "asr") for n in scoring.RANGE)
+    df = spark.sql(f"SELECT 5L AS length, false AS repeated, true AS located, false AS local, false AS weak_context, false AS unstable, false AS consensus, false AS force_given, false AS force_there, false AS asr_there, CAST(NULL AS boolean) AS asr_track_valid, false AS split, 0L AS left_guard, 1L AS right_guard, 1.0D AS proportional_start, 200.0D AS proportional_end, {ranges}")
+    out = scoring.recorded(scoring.judged(df)).first()
     assert (out.confidence, out.start_ms, out.auto) == (0.15, 1.0, False)
-    assert out.reasons == ["proportional", "force_missing", "asr_missing"]
+    assert out.reasons == ["fallback_character_ratio", "local_audio_recognition_refinement_unavailable", "force_aligner_unavailable", "asr_aligner_unavailable"]
+    assert out.diagnostics.force_alignment is None and out.diagnostics.candidate_span_ms == 199.0
 
 
 def test_review_round(spark):
