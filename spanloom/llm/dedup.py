@@ -36,7 +36,7 @@ IN_DOUBT = 55
 DENSE, PROPOSED = 8, 3
 #: Families whose common shingles are broadcast: a set each, as long as a document.
 HOT_FAMILIES = 48
-WORD_MEMO = 400_000
+WORD_MEMO = 100_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(11)
 FACTORS = _rng.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

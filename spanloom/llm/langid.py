@@ -29,8 +29,8 @@ LANGS, SAMPLE_DOCS, SAMPLE_CHARS, DRAWN = 200, 200, 20_000, 8
 #: Hashed features, words of the lexicon a language, words of a training sequence, sequences, passes.
 FEATURES, LEXICON, SEQUENCE, SEQUENCES, PASSES = 1 << 16, 400, 24, 6000, 3
 RATE, DECAY, SEED = 0.25, 1e-6, 7
-#: Words of a block; entries of a worker's word memo, each of at most PIECE letters.
-BLOCK, MEMO = 64, 400_000
+#: Words of a block; entries of a task's word memo, each of at most PIECE letters; rows that are held as texts at once.
+BLOCK, MEMO, HELD = 64, 200_000, 256
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a position of the chain; letters beyond the Latin blocks; runs of one script.
 PIECE = 24
@@ -282,7 +282,7 @@ def predict(docs: DataFrame, model: Model, words: bool = False) -> DataFrame:
 
     def labelled(batches):
         tool = Labeller(model)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for at, answer, score, marginals in answers(tool, texts):
                 cols = [ids.slice(at, len(answer)), pa.array(answer, pa.string()), pa.array(score, pa.float64())]
@@ -293,7 +293,14 @@ def predict(docs: DataFrame, model: Model, words: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(labelled, kind)
 
 
-def answers(tool: Labeller, texts: list[str], held: int = 200_000):
+def sliced(batches):
+    """Arrow batches of at most HELD rows: as Python strings, texts take several times their size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, HELD):
+            yield batch.slice(at, HELD)
+
+
+def answers(tool: Labeller, texts: list[str], held: int = 100_000):
     """For runs of texts of about `held` words: where it starts, languages, scores, marginals (None without words)."""
     langs, at = tool.model.langs, 0
     while at < len(texts):
@@ -338,7 +345,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
 
     def kept(batches):
         tool = Labeller(model)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(text).to_pylist()
             for at, answer, _, marginals in answers(tool, texts):
                 part = batch.slice(at, len(answer))

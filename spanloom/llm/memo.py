@@ -16,7 +16,7 @@ class Memo(dict):
     results never depend on what it holds.
     """
 
-    def __init__(self, fill: Callable[[str], bytes], most: int = 300_000):
+    def __init__(self, fill: Callable[[str], bytes], most: int = 150_000):
         super().__init__()
         self.fill, self.most = fill, most
         self.old: dict[str, bytes] = {}

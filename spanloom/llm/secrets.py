@@ -204,7 +204,7 @@ def redacted(docs: DataFrame, text_column: str = "text", chars_column: str = "n_
     chars = docs.columns.index(chars_column) if chars_column in docs.columns else -1
 
     def cleaned(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             texts = [redact(t) for t in batch.column(text).to_pylist()]
             cols = list(batch.columns)
             cols[text] = pa.array(texts, pa.string())
