@@ -104,3 +104,11 @@ def mp3_rate(rate: Column) -> Column:
     rates = (8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000)
     best = F.element_at(F.array_sort(F.array(*[F.struct(F.abs(rate - r).alias("d"), F.lit(-r).alias("r")) for r in rates])), 1)["r"] * -1
     return F.when((rate > 48000) & (rate % 44100 == 0), F.lit(44100)).otherwise(best)
+
+
+#: Suffixes of files that are taken for audio.
+AUDIO = ("wav", "mp3", "m4a", "aac", "flac", "ogg", "opus", "wma")
+
+
+def is_audio(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1)).isin(*AUDIO)

@@ -127,6 +127,44 @@ def serialized_tokens(text: Column) -> Column:
     return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("token"), F.regexp_extract(x, pattern, 2).cast("double").alias("start"), F.regexp_extract(x, pattern, 3).cast("double").alias("end")))
 
 
+#: The blocks of Han characters.
+HAN = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}\x{30000}-\x{323AF}]"
+
+
+def is_han(letter: Column) -> Column:
+    """Whether a character is Han."""
+    return letter.rlike(rf"^{HAN}\z")
+
+
+def phonetic_keys(letters: DataFrame, sounds: DataFrame) -> DataFrame:
+    """letters (letter, ...) with key: the sound of a character by the dictionary `sounds` (letter, sound), else the character itself.
+
+    The dictionary is joined by letter; equal keys are sound-alikes.
+    """
+    return letters.join(sounds, "letter", "left").withColumn("key", F.coalesce(F.concat(F.lit("sound:"), "sound"), F.concat(F.lit("literal:"), "letter"))).drop("sound")
+
+
+def without_tags(text: Column) -> Column:
+    """text without <...>."""
+    return F.regexp_replace(text, "<[^>]+>", "")
+
+
+def confidence_of(record: Column, keys: tuple[str, ...] = ("confidence", "score", "probability", "prob")) -> Column:
+    """The first valid probability of a JSON record by the precedence of keys; booleans and texts that are no numbers are none."""
+    v = F.try_parse_json(record)
+
+    def at(key: str) -> Column:
+        told = F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
+        return F.when(told != "BOOLEAN", probability(F.try_variant_get(v, f"$.{key}", "string")))
+
+    return F.coalesce(*[at(k) for k in keys])
+
+
+def duration_ms(samples: Column, rate: Column) -> Column:
+    """Whole milliseconds of samples, rounded down."""
+    return F.floor(samples * 1000 / rate).cast("long")
+
+
 def probability(value: Column) -> Column:
     """A number in [0, 1], otherwise null."""
     v = value.try_cast("double")

@@ -125,3 +125,9 @@ def json_depth_problems(value, depth: int = 0, most: int = 8) -> list[str]:
     if isinstance(value, list | tuple):
         return [p for v in value for p in json_depth_problems(v, depth + 1, most)]
     return [] if value is None or isinstance(value, str | int | float | bool) else ["type"]
+
+
+def without_repeats(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows of which those with equal keys are one, the first in order."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return rows.withColumn("_n", nth).where("_n = 1").drop("_n")

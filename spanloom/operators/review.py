@@ -69,7 +69,7 @@ def annotations(marks: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Fixed values of the stored format: why a fresh annotation needs review; confidence below which it is low.
 UNVERIFIED, COARSE, UNKNOWN, LOW = "boundary_precision_unverified", "coarse_timestamp", "model_confidence_unavailable", "low_model_confidence"
-LOW_CONFIDENCE = 0.5
+LOW_CONFIDENCE = 0.40
 
 
 def token_facts(tokens: DataFrame, keys: list[str]) -> DataFrame:

@@ -425,7 +425,7 @@ def annotation_merge(spark, sf_dir):
 
 
 @query(f"""WITH {TOKENS} SELECT user_id, array_to_string(list_sort(list(DISTINCT precision)), ',') AS precisions, count(confidence) AS available, round_even(avg(confidence), 4) AS mean_confidence, round_even(min(confidence), 4) AS min_confidence,
-  array_to_string(list_filter(['boundary_precision_unverified', CASE WHEN bool_or(precision <> 'character') THEN 'coarse_timestamp' END, CASE WHEN count(confidence) < count(*) THEN 'model_confidence_unavailable' END, CASE WHEN min(confidence) < 0.5 THEN 'low_model_confidence' END], lambda x: x IS NOT NULL), ',') AS reasons FROM tokens GROUP BY ALL""")
+  array_to_string(list_filter(['boundary_precision_unverified', CASE WHEN bool_or(precision <> 'character') THEN 'coarse_timestamp' END, CASE WHEN count(confidence) < count(*) THEN 'model_confidence_unavailable' END, CASE WHEN min(confidence) < 0.4 THEN 'low_model_confidence' END], lambda x: x IS NOT NULL), ',') AS reasons FROM tokens GROUP BY ALL""")
 def annotation_metadata(spark, sf_dir):
     rows = review.token_facts(tokens(spark, sf_dir), ["user_id"])
     return rows.select("user_id", F.array_join("precisions", ",").alias("precisions"), "available", "mean_confidence", "min_confidence", F.array_join("reasons", ",").alias("reasons"))
