@@ -33,18 +33,46 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once: written as Parquet into the folder that the executors share (spark.checkpoint.dir), and read again.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    What calls a model must not run again for each reader, nor when an executor is lost. Only in
-    local mode does a temporary folder stand in for a setting that is absent.
+    Only in local mode, where one process is driver and executor, a temporary folder stands in
+    for a setting that is absent.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"spanloom-{os.getuid()}")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
+    folder = "file://" + os.path.join(tempfile.gettempdir(), f"spanloom-{os.getuid()}")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where an application keeps what it computes once: one folder, which :func:`clear_run` deletes."""
+    return f"{shared_dir(spark)}/spanloom-runs/{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for each call, so that a second run meets nothing of the first."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """df, computed once: written as Parquet into the run's folder and read again.
+
+    What calls a model must not run again for each reader, and a lost executor costs nothing,
+    as the files are in the shared folder. The schema goes along, so an empty table is read
+    back too.
+    """
+    spark = df.sparkSession
+    folder = new_folder(spark, name)
+    df.write.option("compression", codec).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Delete what this application has stored, once its results are written: DataFrames that still read it fail then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
