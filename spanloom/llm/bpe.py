@@ -192,8 +192,10 @@ def encode_column(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode every whole text, decode its ids.
 
-    A null text is empty and has no ids. Repeated rows give repeated rows; an empty table gives
-    none; other columns are ignored. A map over rows: nothing is shuffled.
+    A null text is empty and has no ids. A text of any length is encoded whole, its chunks one
+    after another. Repeated rows give repeated rows; an empty table gives none; other columns,
+    whatever their names, are ignored. A map over rows: nothing is shuffled. Chunks are reused
+    within a worker, which keeps the last CHUNK_MEMO at most.
     """
 
     def both(batches):

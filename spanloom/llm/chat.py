@@ -43,7 +43,9 @@ def expand(conversations: DataFrame, trained_role: str = "assistant") -> DataFra
     loss_start and loss_end (code points of text, end exclusive; equal when nothing is trained).
 
     The contexts of a conversation of t turns take t*t/2 turns in all, as the method asks;
-    conversations are rows, so one has to fit a row. No shuffle beyond the one by conv_id.
+    conversations are rows, so one has to fit a row. No shuffle beyond the one by conv_id. An
+    empty table gives no examples; repeated rows are repeated turns; other columns, whatever
+    their names, are ignored.
     """
     rows = turns_of(conversations)
     marked = F.transform("turns", lambda x: F.concat(F.lit(OPEN), escape(x["role"]), F.lit(CLOSE), escape(x["text"]), F.lit(END)))
@@ -63,7 +65,7 @@ def read_back(examples: DataFrame) -> DataFrame:
     """conv_id, turns (array of role, text), losses (array of trained texts in order), formatted_chars.
 
     Everything comes from the formatted text and its spans: the last example of a conversation
-    holds all its turns.
+    holds all its turns. A null conv_id is a conversation as any other; an empty table gives none.
     """
     trained = unescape(F.substring(F.col("text"), F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
     rows = examples.groupBy("conv_id").agg(

@@ -2,48 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the broadcast side of :func:`lookup`; a key outside it holds at most 1/HOT_KEYS of the rows.
-HOT_KEYS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
+from spanloom.plans.session import new_folder, shared_dir, stored
 
-    Only in local mode, where one process is driver and executor, a temporary folder stands in
-    for a setting that is absent.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
-    folder = "file://" + os.path.join(tempfile.gettempdir(), f"spanloom-{os.getuid()}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own for each call, so that a second run meets nothing of the first."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["HOT_KEYS", "lookup", "new_folder", "shared_dir", "text_of", "written"]
 
+#: Rows of the broadcast side of :func:`lookup`; a key outside it holds at most 1/HOT_KEYS of the rows.
+HOT_KEYS = 1000
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df, computed once: written as Parquet into the shared folder and read again.
 
-    The schema goes along, so an empty table is read back too; a lost executor costs nothing,
-    as the files are in the shared folder.
-    """
-    spark = df.sparkSession
-    folder = new_folder(spark, name)
-    df.write.option("compression", codec).parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+#: What is computed once lies in the run's folder; spanloom.plans.session.clear_run deletes it.
+written = stored
 
 
 def text_of(column: str = "text") -> Column:

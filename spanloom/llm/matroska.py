@@ -220,7 +220,11 @@ def media_column(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def packets(media: DataFrame) -> DataFrame:
-    """doc_id, packet, track, ms, keyframe, offset, length: the packet table of each file."""
+    """doc_id, packet, track, ms, keyframe, offset, length: the packet table of each file, a row for each packet.
+
+    A null file has none; a file that is no Matroska raises. Repeated rows give repeated tables,
+    an empty table none; other columns are ignored.
+    """
 
     def rows(batches):
         for batch in batches:
@@ -234,7 +238,12 @@ def packets(media: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What the stored bytes give when read: lengths, digests and the feature of each file."""
+    """What the stored bytes give when read: lengths, digests and the feature of each file.
+
+    media has doc_id, n_bytes and media, as media_column gives it, never null. A file is read
+    whole, one at a time, whatever its length; equal files give equal values, repeated rows
+    repeated rows, an empty table none; other columns are ignored.
+    """
     names = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def read(batches):
@@ -256,7 +265,7 @@ def features(media: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame) -> DataFrame:
     """Store the media column as a table in the shared folder, read it again, compute features.
 
-    Repeated rows give repeated rows; an empty table gives an empty one; other columns of docs
-    are ignored.
+    A null text is empty: one packet of padding. Repeated rows give repeated rows; an empty table
+    gives an empty one; other columns of docs, whatever their names, are ignored.
     """
     return features(written(media_column(docs), "media"))

@@ -28,8 +28,6 @@ REVISIT_FROM = 100
 FILE_BYTES = 64 << 20
 #: Bytes taken from a file at once.
 PIECE = 64 << 10
-#: The longest header block that the reader accepts.
-HEADER_BYTES = 1 << 20
 #: Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -88,10 +86,10 @@ def members(pieces: Iterable[bytes]) -> Iterator[bytes]:
 
 
 def framed(held: bytearray) -> bool:
-    """Whether what a member has given so far still fits one record."""
-    end = held.find(b"\r\n\r\n", 0, HEADER_BYTES)
+    """Whether what a member has given so far still fits one record; a header may have any length, as a URL may."""
+    end = held.find(b"\r\n\r\n")
     if end < 0:
-        return len(held) < HEADER_BYTES
+        return True
     length = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", held[: end + 2], re.IGNORECASE)
     return length is not None and len(held) <= end + 4 + int(length[1]) + 4
 
@@ -214,8 +212,9 @@ def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
 
     page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload). A null
     html is an empty payload. Rows that repeat the smallest page_id of a payload are all
-    responses; a null page_id never is the smallest; an empty table gives no rows. Other
-    columns of pages are ignored.
+    responses; a null page_id never is the smallest; repeated rows give a record each. URLs and
+    texts of any length are written and read whole, one record at a time. An empty table gives no
+    rows. Other columns of pages, whatever their names, are ignored.
     """
     folder = new_folder(pages.sparkSession, "warc")
     return read_archives(write_archives(plan_records(pages), folder), folder, payloads)

@@ -197,6 +197,46 @@ def test_media_rows(docs, rows, empty):
     assert table.where("length <> 576").count() == 0 and table.count() == sum(r.payload_bytes for r in got.values()) // 576
 
 
+def plain_elements(data):
+    """(id, content) of a run of EBML elements: a second reader, for ids and sizes alone."""
+    at = 0
+    while at < len(data):
+        width = next(w for w in range(1, 9) if data[at] >> (8 - w))
+        kind, at = data[at : at + width].hex(), at + width
+        width = next(w for w in range(1, 9) if data[at] >> (8 - w))
+        size = int.from_bytes(data[at : at + width], "big") - (1 << 7 * width)
+        at += width
+        yield kind, data[at : at + size]
+        at += size
+    assert at == len(data)
+
+
+def test_media_equal_a_second_reader(docs, rows):
+    stored = {r.doc_id: r for r in matroska.media_column(docs).collect()}
+    got = by_id(matroska.round_trip(docs))
+    for i, text, _ in rows:
+        data, raw = bytes(stored[i].media), (text or "").encode()
+        payload = raw + b"\xff" * (576 if not raw else -len(raw) % 576)
+        (head, _), (segment, body) = plain_elements(data)
+        assert (head, segment) == ("1a45dfa3", "18538067")
+        clusters, found = [c for k, c in plain_elements(body) if k == "1f43b675"], b""
+        for cluster in clusters:
+            for kind, block in plain_elements(cluster):
+                if kind == "a3":
+                    assert block[0] == 0x81 and block[3] & 0x06 in (0, 4)
+                    found += block[5:] if block[3] & 0x06 else block[4:]
+        assert found == payload
+        n = len(payload)
+        mean = sum(payload) / n
+        spread = max(0.0, sum(x * x for x in payload) / n - mean * mean) ** 0.5
+        shares = "".join(f"{sum(x // 16 == k for x in payload) * 255 // n:02x}" for k in range(16))
+        feature = f"{n // 576}:{len(clusters)}:{(n // 576 - 1) * 72}:{mean:.3f}:{spread:.3f}:{shares}"
+        want = (len(raw), n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature)
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32, got[i].media_bytes, got[i].media_sha256, got[i].feature) == want
+    twice = matroska.round_trip(docs.unionAll(docs)).collect()
+    assert len(twice) == 2 * len(rows) and {tuple(r) for r in twice} == {tuple(r) for r in got.values()}
+
+
 def test_fingerprints(spark, docs, rows, empty):
     got = by_id(syncmers.compared(docs))
     line = sorted(((i, t or "") for i, t, _ in rows), reverse=True)
@@ -292,6 +332,9 @@ def test_chat(spark):
         assert [(t.role, t.text) for t in got[c].turns] == [(r or "", t or "") for i, _, r, t in told if i == c]
     assert got[1].losses == ["<s>[x]\n", "ok"] and got[2].losses == []
     assert chat.read_back(chat.expand(df.limit(0))).count() == 0
+    nobody = spark.createDataFrame([(None, 1, "assistant", "b"), (None, 0, "user", "a"), (None, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    (r,) = chat.read_back(chat.expand(nobody)).collect()
+    assert r.conv_id is None and [(t.role, t.text) for t in r.turns] == [("user", "a"), ("user", "a"), ("assistant", "b")] and r.losses == ["b"]
 
 
 def test_secret_rows(docs, rows, empty):
@@ -327,6 +370,12 @@ def test_archives(spark):
     assert got == {5: ("http://a/", 150, "revisit", 2), 2: ("http://b/ä", 150, "response", None), 9: (None, 150, "revisit", 2), 1: ("u", 1, "response", None), 3: ("u", 1, "response", None), 4: ("u", 0, "response", None), None: ("n", 150, "revisit", 2)}
     assert all(r.payload_digest == hashlib.sha256((dict((a, c) for a, _, c in told)[r.page_id] or "").encode()).hexdigest() for r in rows)
     assert warc.round_trip(df.limit(0)).count() == 0
+    rng = random.Random(7)
+    url = "http://h/" + "".join(rng.choice("abcdefghij0123456789%ü") for _ in range(1_500_000))
+    html = "".join(rng.choice("<p>abc ") for _ in range(3_000_000))
+    twice = spark.createDataFrame([(3, url, html), (3, url, html), (8, url, "x"), (9, None, html)], "page_id long, url string, html string")
+    told = sorted(((r.page_id, r.url == url, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(twice).collect()), key=str)
+    assert told == [(3, True, 3_000_000, "response", None), (3, True, 3_000_000, "response", None), (8, True, 1, "response", None), (9, False, 3_000_000, "revisit", 3)]
 
 
 def test_main_texts(spark):

@@ -2,9 +2,11 @@
 
 import itertools
 import random
+import zlib
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
 from spanloom.llm import langid, wrappers
 from spanloom.plans.session import ship
@@ -99,3 +101,55 @@ def test_extraction_equals_the_same_rules_without_spark(spark):
     got = wrappers.extract(spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, html string, content string, alike int")).collect()
     assert {r.page_id: r.text for r in got} == want | {900: "", 901: "x", 902: "x", None: "y"} and len(got) == len(rows)
     assert all(r.by_wrapper == (r.page_id is not None and r.page_id < 900) for r in got)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "one two three four five six seven", "en")] * 3 + [(2, None, None), (3, "", "en"), (4, "12 34 !", None), (None, "alpha beta gamma delta epsilon zeta", "en"), (5, "word " * 30_000, "en")]])
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path, rows):
+    ship(spark)
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # without two languages to tell apart all texts with a letter stay; repeated rows of a kept id stay together
+    kept = sorted({str(r.doc_id) for r in got})
+    assert kept == (sorted(["1", "5", "None"]) if rows else []) and sum(r.doc_id == 1 for r in got) == (3 if rows else 0)
+    used = {}
+    for r in got:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
+def test_pipeline_equals_the_stages_by_brute_force(spark, tmp_path):
+    """The rows of run() against plain Python for each stage: links of five-word shingles, redaction, the library's ids."""
+    from tokenizers import Tokenizer
+
+    ship(spark)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    base = [[word() for _ in range(60)] for _ in range(6)]
+    texts = {}
+    for k in range(40):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 8])):
+            words[rng.randrange(60)] = word()
+        if k % 9 == 0:
+            words.insert(5, "password=Zq81xyzTT")
+        texts[k] = " ".join(words)
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    label = {i: i for i in texts}
+    for _ in texts:
+        for a, b in itertools.combinations(texts, 2):
+            if similarity(texts[a], texts[b], 5) >= 0.8:
+                label[a] = label[b] = min(label[a], label[b])
+    library = Tokenizer.from_file(corpus_pipeline.tokenizer("word_bpe_49k.json"))
+    want = {}
+    for i in (i for i in texts if label[i] == i):
+        ids = library.encode(texts[i].replace("password=Zq81xyzTT", "[SECRET]"), add_special_tokens=False).ids + [1]
+        want[i] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want
