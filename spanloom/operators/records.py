@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 from pathlib import Path
 
@@ -213,18 +212,6 @@ def with_output(projects: DataFrame) -> DataFrame:
     return projects.withColumn("output_directory", F.when(F.coalesce(F.trim("output_directory"), F.lit("")) == "", beside).otherwise(F.col("output_directory")))
 
 
-def option_key(value: object) -> str:
-    """A text that is equal for equal nested options, whatever the order of their keys."""
-    def plain(x):
-        if isinstance(x, Mapping):
-            return {str(k): plain(v) for k, v in x.items()}
-        if isinstance(x, set | frozenset):
-            return sorted((plain(v) for v in x), key=repr)
-        return [plain(v) for v in x] if isinstance(x, list | tuple) else x if isinstance(x, str | int | float | bool | None) else repr(x)
-
-    return json.dumps(plain(value), sort_keys=True, ensure_ascii=False)
-
-
 # --- what a run needs
 
 

@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 from spanloom.functions.text import normalize_with_origin
 from spanloom.operators.align import aligned, line_of
 from spanloom.operators.intervals import overlaps
+from spanloom.operators.options import option_key
 from spanloom.operators.segments import EPSILON, judged
 
 #: Fixed values of the format: keys of raw results, in the order in which they count.
@@ -312,6 +313,17 @@ class Unavailable(RuntimeError):
     """A model that is not there: the call counts as not made."""
 
 
+_MODELS: dict[str, object] = {}
+
+
+def kept(options: object, load: Callable[[], object]) -> object:
+    """What load() gives for these options, loaded once a worker: a plug-in calls it for its model."""
+    key = option_key(options)
+    if key not in _MODELS:
+        _MODELS[key] = load()
+    return _MODELS[key]
+
+
 def coerced(value: object, engine: str, length: int) -> dict:
     """A track from what an aligner gave: a record with spans, or a list of spans, of loose types.
 

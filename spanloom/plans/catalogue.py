@@ -512,17 +512,22 @@ def cut_list(spark, sf_dir):
     return sinks.cut_list(interval_merge(spark, sf_dir), ["project"], 48)
 
 
+def events_stream(spark, sf_dir):
+    return streaming.table_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS block_start, min(value) AS min, max(value) AS max, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY ALL")
 def stream_envelope(spark, sf_dir):
-    """The streaming envelope's own aggregate, run as a batch over the whole table."""
-    rows = streaming.envelope(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "value", "1 day")
+    """The streaming envelope over the whole table, read as a stream."""
+    rows = streaming.envelope(events_stream(spark, sf_dir), "user_id", "ts", "value", "1 day", "3650 days")
+    rows = streaming.completed(rows, "stream-envelope")
     return rounded(rows.withColumn("block_start", F.col("block_start").cast("timestamp_ntz")), "rms")
 
 
 @query(f"""WITH t AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= {6 * HOUR} THEN 1 ELSE 0 END AS new FROM events),
   g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seg FROM t) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS tokens FROM g GROUP BY user_id, seg""")
 def stream_gap_sessions(spark, sf_dir):
-    rows = streaming.gap_sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 6 * HOUR)
+    rows = streaming.completed(streaming.gap_sessions(events_stream(spark, sf_dir), "user_id", "ts", 6 * HOUR, "3650 days"), "stream-sessions")
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.functions import text as T
-from spanloom.operators import projects, records
+from spanloom.operators import exports, projects, records
 from spanloom.plans.carriers import CUTS, TOKENS, cuts, table, tokens
-from spanloom.plans.catalogue import LINES, NORM, lines, query, review
+from spanloom.plans.catalogue import GAPS, HIGH, LINES, LOW, NORM, lines, query, review
 
 
 def joined(column: str):
@@ -206,3 +206,30 @@ def anchors_beyond_audio(spark, sf_dir):
     rows = lines(spark, sf_dir).select("conv_id", (F.col("turn") * 1000).cast("long").alias("anchor_ms"))
     durations = rows.select("conv_id").distinct().withColumn("duration_ms", (F.col("conv_id") % 5 * 1000).cast("long"))
     return projects.beyond_duration(rows, durations, "conv_id")
+
+
+@query(f"""WITH RECURSIVE {GAPS}, n AS (SELECT project, e - s AS len, row_number() OVER (PARTITION BY project ORDER BY s) AS k, count(*) OVER (PARTITION BY project) AS pieces, sum(e - s) OVER (PARTITION BY project) AS raw FROM kept),
+  r AS (SELECT project, k, len AS cur, pieces, raw FROM n WHERE k = 1 UNION ALL SELECT r.project, n.k, r.cur + n.len - least(8, r.cur, n.len), r.pieces, r.raw FROM r JOIN n ON n.project = r.project AND n.k = r.k + 1),
+  g2 AS (SELECT project, CAST(sum(e - s) AS BIGINT) AS removed FROM c GROUP BY project)
+  SELECT g2.project, coalesce(pieces, 0) AS pieces, CAST(coalesce(cur, 0) AS BIGINT) AS kept_length, CAST(coalesce(raw, 0) AS BIGINT) AS kept_raw, removed FROM g2 LEFT JOIN r ON r.project = g2.project AND k = pieces""")
+def export_plan(spark, sf_dir):
+    return exports.export_plan(cuts(spark, sf_dir), ["project"], LOW, HIGH, 8)
+
+
+@query(f"""WITH {CUTS}, sel AS (SELECT project, greatest(min(s), 0) AS s, greatest(min(s), 0) + 20 AS e FROM cuts GROUP BY project), w AS (SELECT *, greatest(s - 50, 0) AS low, least(e + 50, 2500) AS high FROM sel),
+  u AS (SELECT c.project, greatest(c.s, low) AS s, least(c.e, high) AS e FROM (SELECT project, s, e FROM cuts UNION ALL SELECT project, s, e FROM sel) c JOIN w ON w.project = c.project WHERE least(c.e, high) > greatest(c.s, low)),
+  f AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY project ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM u), i AS (SELECT *, sum(new) OVER (PARTITION BY project ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM f),
+  m AS (SELECT project, min(s) AS s, max(e) AS e FROM i GROUP BY project, island),
+  gp AS (SELECT m.project, coalesce(lag(m.e) OVER (PARTITION BY m.project ORDER BY m.s), low) AS s, m.s AS e FROM m JOIN w ON w.project = m.project UNION ALL SELECT m.project, max(m.e), max(high) FROM m JOIN w ON w.project = m.project GROUP BY m.project)
+  SELECT project, 'original' AS mode, low AS start, high AS "end" FROM w UNION ALL SELECT project, 'selection', s, e FROM sel UNION ALL SELECT project, 'edited', s, e FROM gp WHERE e > s""")
+def preview_ranges(spark, sf_dir):
+    rows = cuts(spark, sf_dir).select("project", "start", "end")
+    first = rows.groupBy("project").agg(F.greatest(F.min("start"), F.lit(0)).cast("long").alias("start")).withColumn("end", F.col("start") + 20)
+    return exports.preview_ranges(first, rows, ["project"], 50, 2500)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'rate' WHEN 2 THEN 'length' END AS problem FROM part""")
+def rendered_files(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", (k * 10).alias("expected"), F.when(k % 5 == 2, k * 10 + 2).when(k % 5 != 0, k * 10 + k % 2).alias("found"), F.when(k % 5 == 1, 44100).otherwise(48000).alias("rate"))
+    return rows.select("p_partkey", exports.rendered_problems(F.col("expected"), F.col("found"), F.lit(48000), F.col("rate")).alias("problem"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from spanloom import sinks, streaming
-from spanloom.operators import signals
+from spanloom.operators import exports, options, records, signals, tracks
 from spanloom.plans import session
 from spanloom.sources import wav
 
@@ -112,6 +112,30 @@ def test_streaming_envelope_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("env").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_streams_from_files_equal_batches(spark, tmp_path):
+    session.ship(spark)
+    rows = spark.sql("SELECT id % 3 AS k, timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * id % 977) AS ts, CAST(id % 17 AS DOUBLE) AS v FROM range(900)")
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = streaming.table_stream(spark, str(tmp_path / "in"))
+    sessions = streaming.completed(streaming.gap_sessions(stream, "k", "ts", 3_000_000), "sessions")
+    assert sorted(map(tuple, sessions.collect())) == sorted(map(tuple, streaming.gap_sessions(rows, "k", "ts", 3_000_000).collect()))
+    blocks = streaming.completed(streaming.envelope(stream, "k", "ts", "v", "1 minute"), "blocks")
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, streaming.envelope(rows, "k", "ts", "v", "1 minute").collect()))
+
+
+def test_self_test_and_programs(spark, tmp_path):
+    session.ship(spark)
+    told = exports.self_test(spark, tmp_path / "told.json")
+    assert told["ok"] and sinks.load_json(tmp_path / "told.json") == told
+    (tmp_path / "tool").write_text("")
+    assert exports.program("tool", beside=str(tmp_path / "other")) == tmp_path / "tool" == exports.program("x", explicit=str(tmp_path / "tool"))
+    assert exports.program("no-such-program") is None
+    assert records.platform_key("darwin", "ARM64") == "macos-arm64" and records.platform_key("linux", "x86_64") == "linux-x86_64"
+    assert options.option_key({"b": {2, 1}, "a": (1, None)}) == options.option_key({"a": [1, None], "b": [1, 2]})
+    loads = []
+    assert tracks.kept({"a": 1}, lambda: loads.append(1) or "model") == tracks.kept({"a": 1}, lambda: loads.append(1) or "other") == "model" and loads == [1]
+
+
 def test_sessions_split_at_exactly_the_gap(spark):
     rows = spark.sql("SELECT 1 AS k, timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, s) AS ts FROM VALUES (0), (10), (15) AS t(s)")
     out = streaming.gap_sessions(rows, "k", "ts", 10_000_000).collect()
