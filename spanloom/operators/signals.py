@@ -119,13 +119,20 @@ def thresholds(framed: DataFrame, key: str) -> DataFrame:
 
 
 def energy_edges(signal: DataFrame, key: str, width: int, hop: int) -> DataFrame:
-    """key, kind (start or end), edge: where voice that lasts two frames begins and ends."""
+    """key, kind (start or end), edge: where voice that lasts two frames begins and ends.
+
+    A frame is stable if it and the next are voiced; an edge is where that changes, so a frame
+    and its two neighbours tell it, and blocks of frames with their edges are enough.
+    """
     framed = frames(signal, key, width, hop)
-    line = Window.partitionBy(key).orderBy("frame")
-    rows = framed.join(thresholds(framed, key), key).withColumn("_on", F.col("rms") >= F.col("threshold"))
-    rows = rows.withColumn("_stable", F.col("_on") & F.coalesce(F.lead("_on").over(line), F.lit(False)))
-    rows = rows.withColumn("_before", F.coalesce(F.lag("_stable").over(line), F.lit(False)))
-    edge = F.when(F.col("_stable") & ~F.col("_before"), F.struct(F.lit("start").alias("kind"), (F.col("frame") * hop).alias("edge"))).when(~F.col("_stable") & F.col("_before"), F.struct(F.lit("end").alias("kind"), (F.col("frame") * hop + width).alias("edge")))
+    rows = framed.join(thresholds(framed, key), key).select(key, F.col("frame").alias("sample"), (F.col("rms") >= F.col("threshold")).alias("v"))
+    own = F.floor(F.col("sample") / BLOCK)
+    rows = rows.withColumn("_block", F.explode(F.array_distinct(F.array(own, F.floor((F.col("sample") - 1) / BLOCK), F.floor((F.col("sample") + 1) / BLOCK))))).withColumn("_own", F.col("_block") == own)
+    line = Window.partitionBy(key, "_block").orderBy("sample")
+    on = lambda c: F.coalesce(c, F.lit(False))
+    stable, was = F.col("v") & on(F.lead("v").over(line)), F.col("v") & on(F.lag("v").over(line))
+    rows = rows.withColumns({"_stable": stable, "_was": was}).where("_own")
+    edge = F.when(F.col("_stable") & ~F.col("_was"), F.struct(F.lit("start").alias("kind"), (F.col("sample") * hop).alias("edge"))).when(~F.col("_stable") & F.col("_was"), F.struct(F.lit("end").alias("kind"), (F.col("sample") * hop + width).alias("edge")))
     return rows.select(key, edge.alias("e")).where("e IS NOT NULL").select(key, "e.kind", F.col("e.edge").cast("long").alias("edge"))
 
 

@@ -37,11 +37,16 @@ def cut_list_csv(rows: Iterable) -> bytes:
     return b"\xef\xbb\xbf" + out.getvalue().encode()
 
 
-def commit(staged: dict[Path, Path]) -> None:
-    """Move staged files to their places, all of them or none: what was there comes back on failure."""
+def commit(staged: dict[Path, Path], overwrite: bool = True) -> None:
+    """Move staged files to their places, all of them or none: what was there comes back on failure.
+
+    Without overwrite, a place that is taken is a failure before anything moves.
+    """
     for final in staged.values():
         if final.is_dir():
             raise IsADirectoryError(final)
+        if final.exists() and not overwrite:
+            raise FileExistsError(final)
     kept: dict[Path, Path] = {}
     placed: list[Path] = []
     try:

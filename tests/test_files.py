@@ -89,6 +89,10 @@ def test_commit_is_all_or_nothing(tmp_path):
         s.write_text("new")
     sinks.commit(staged)
     assert [f.read_text() for f in finals] == ["new"] * 3
+    (tmp_path / "s0").write_text("newer")
+    with pytest.raises(FileExistsError):
+        sinks.commit({tmp_path / "s0": finals[0]}, overwrite=False)
+    assert finals[0].read_text() == "new" and len(sinks.tree_digest(tmp_path)) == 64
 
 
 def test_json_and_cut_list(spark, tmp_path):

@@ -1,3 +1,5 @@
+import random
+
 import math
 
 from spanloom.operators import signals
@@ -51,3 +53,12 @@ def test_edges_of_a_burst(spark):
     v = [0.001] * 100 + [1.0] * 50 + [0.001] * 100
     out = sorted((r.kind, r.edge) for r in signals.energy_edges(frame(spark, v), "id", 2, 1).collect())
     assert [k for k, _ in out] == ["end", "start"] and 98 <= dict(out)["start"] <= 101 and 149 <= dict(out)["end"] <= 152
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    values = [round(rng.choice([0.0, 0.001, 1.0]) * rng.uniform(-1, 1), 3) for _ in range(300)]
+    whole = [sorted(map(tuple, f(frame(spark, values)).collect())) for f in (lambda d: signals.energy_edges(d, "id", 4, 2), lambda d: signals.zero_crossings(d, "id"), lambda d: signals.resampled(d, "id", 24_000))]
+    monkeypatch.setattr(signals, "BLOCK", 7)
+    cut = [sorted(map(tuple, f(frame(spark, values)).collect())) for f in (lambda d: signals.energy_edges(d, "id", 4, 2), lambda d: signals.zero_crossings(d, "id"), lambda d: signals.resampled(d, "id", 24_000))]
+    assert whole == cut and all(whole)
