@@ -16,7 +16,11 @@ from spanloom.plans.session import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those whose words are told with a mean confidence under two fifths."""
+    """Documents without a letter go, and those whose words are told with a mean confidence under two fifths.
+
+    A null or empty text goes; repeated rows stay or go together; an empty table gives an empty one; where no
+    two languages are labelled, every document with a letter stays.
+    """
     ship(spark)
     return langid.accepted(docs, langid.fit(docs))
 
@@ -24,7 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays.
 
-    Links are by five-word shingles; the four words of op5_minhash are that query's own. Rows that repeat a doc_id are one document and stay or go together.
+    Links are by five-word shingles; the four words of op5_minhash are that query's own. Rows that repeat a doc_id are one
+    document and stay or go together; rows without a doc_id, and texts without words, are linked with nothing and stay.
     """
     ship(spark)
     gone = dedup.near_duplicates(docs, width=5).where("NOT kept").select("doc_id").distinct()
@@ -32,13 +37,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; the documents stay."""
+    """Secrets are replaced by a mark; the documents stay, null and empty texts as they are, repeated rows repeated."""
     ship(spark)
     return secrets.redacted(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that is left, in as few sequences as the search can reach."""
+    """Every document that is left, in as few sequences as the search can reach; a null text takes one token, repeated rows a place each."""
     ship(spark)
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
