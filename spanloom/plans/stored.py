@@ -174,9 +174,9 @@ def confirmed_boundaries(spark, sf_dir):
     return projects.confirmed(rows, told.where("quality = 1"), ["doc_id"]).select("doc_id", "review_required", joined("review_reasons"))
 
 
-@query(f"WITH {CUTS} SELECT o_orderkey FROM cuts WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3)")
+@query(f"WITH {CUTS} SELECT o_orderkey FROM cuts WHERE o_orderkey NOT IN (SELECT l_orderkey + l_linenumber - 1 FROM lineitem)")
 def removed_annotations(spark, sf_dir):
-    gone = table(spark, sf_dir, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("o_orderkey"))
+    gone = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber") - 1).alias("o_orderkey"))
     return projects.without(cuts(spark, sf_dir), gone, ["o_orderkey"]).select("o_orderkey")
 
 
@@ -193,12 +193,12 @@ def missing_resources(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(records.missing(wanted, there), ",").alias("missing"))
 
 
-@query("""WITH b AS (SELECT p_partkey, p_partkey % 4 AS k FROM part) SELECT CAST(p_partkey AS VARCHAR) AS path, CASE k WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'changed' END AS change FROM b WHERE k < 3""")
+@query("""WITH b AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_partkey % 4 AS k FROM part) SELECT path, CASE k WHEN 0 THEN 'removed' WHEN 2 THEN 'changed' END AS change FROM b WHERE k IN (0, 2) UNION ALL SELECT 'new' || path, 'added' FROM b WHERE k = 0""")
 def changed_files(spark, sf_dir):
-    k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.lit(1).alias("size"), F.lit(2).alias("modified"), F.lit("x").alias("sha256"), (k % 4).alias("k"))
-    after = rows.where("k > 0").withColumn("sha256", F.when(F.col("k") == 2, "y").otherwise("x"))
-    return projects.changed_files(rows.where("k <> 1"), after)
+    k = F.col("p_partkey") % 4
+    path = F.col("p_partkey").cast("string")
+    before, after = (table(spark, sf_dir, "part").select(p.alias("path"), F.lit(1).alias("size"), F.lit(2).alias("modified"), d.alias("sha256")) for p, d in ((path, F.lit("x")), (F.when(k == 0, F.concat(F.lit("new"), path)).otherwise(path), F.when(k == 2, "y").otherwise("x"))))
+    return projects.changed_files(before, after)
 
 
 @query(f"""WITH {LINES}, a AS (SELECT conv_id, max(turn) * 1000 AS last FROM lines GROUP BY conv_id) SELECT conv_id, CAST(last AS BIGINT) AS last_anchor_ms, CAST(conv_id % 5 * 1000 AS BIGINT) AS duration_ms FROM a WHERE last > conv_id % 5 * 1000""")
