@@ -22,16 +22,19 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def lookup(left: DataFrame, groups: DataFrame, key: str, values: list[str], size: str, spread: Column, hot_keys: int | None = None) -> DataFrame:
+def lookup(left: DataFrame, groups: DataFrame, key: str, values: list[str], size: str, spread: Column, hot_keys: int | None = None, fits: Column | None = None) -> DataFrame:
     """left with the columns `values` of `groups` (one row a key), null where there is none.
 
     A plain join deals all rows of one key to one task. Here the `hot_keys` (HOT_KEYS) keys with the most
     rows (`size`) are broadcast - that many rows at most, whatever the input - and their
     rows of `left` are dealt out by `spread` instead. `spread` has to be a string that is
-    unique enough to spread rows and never equals a key.
+    unique enough to spread rows and never equals a key. Where values have no bound of their own,
+    `fits` says which rows of `groups` are small enough to be broadcast; the rest are joined, and
+    a partition with most of the rows is split by Spark's skew join.
     """
     slim = groups.select(key, *dict.fromkeys([*values, size]))
-    hot = slim.orderBy(F.desc(size), key).limit(hot_keys or HOT_KEYS).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
+    small = slim if fits is None else slim.where(fits)
+    hot = small.orderBy(F.desc(size), key).limit(hot_keys or HOT_KEYS).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
     cold = slim.select(F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold"))
     near = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     near = near.withColumn("_deal", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), spread).otherwise(F.col(key)))

@@ -34,8 +34,8 @@ SIGNATURE = TREES * DEPTH
 IN_DOUBT = 55
 #: Classes of a region from which it is sorted by more values; partners a class proposes in the first pass.
 DENSE, PROPOSED = 8, 3
-#: Families whose common shingles are broadcast: a set each, as long as a document.
-HOT_FAMILIES = 48
+#: Families whose common shingles are broadcast, and how many shingles each may have at most: 20 MB in all.
+HOT_FAMILIES, CORE = 48, 50_000
 WORD_MEMO = 100_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(11)
@@ -281,7 +281,7 @@ def families(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     counts = written(sets.select("family", "size", F.explode("items").alias("item")).groupBy("family", "item").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("size")).where("c > 1"), "counts")
     cores = counts.where("2 * c > size").groupBy("family").agg(F.collect_list("item").alias("core"), F.max("size").alias("size"))
     keyed = sets.withColumn("key", F.col("family").cast("string"))
-    told = lookup(keyed, cores.select(F.col("family").cast("string").alias("key"), "core", "size"), "key", ["core"], "size", F.concat(F.lit("#"), F.col("id").cast("string")), HOT_FAMILIES)
+    told = lookup(keyed, cores.select(F.col("family").cast("string").alias("key"), "core", "size"), "key", ["core"], "size", F.concat(F.lit("#"), F.col("id").cast("string")), HOT_FAMILIES, F.size("core") <= CORE)
     core = F.coalesce("core", F.array().cast("array<long>"))
     differ = told.select("family", "component", "id", "n", F.concat(F.array_except("items", core), F.array_except(core, "items")).alias("differ"))
     differ = differ.withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * F.size("differ"))

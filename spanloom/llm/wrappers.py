@@ -36,6 +36,8 @@ from spanloom.llm.common import lookup, text_of, written
 
 #: Pages that make a first wrapper, wrappers that are merged at once, tokens looked ahead for a group.
 PAGES, MERGED, AHEAD = 32, 8, 200
+#: Hashes of a guide that is broadcast, at most: with 1000 guides, 16 MB in all.
+GUIDE = 2000
 #: The share of a host's text that its content holds, and the share of the content that fixed texts may have.
 HELD, OWN = 0.75, 0.25
 TOKEN = re.compile(r"""(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
@@ -557,7 +559,8 @@ def extract(pages: DataFrame) -> DataFrame:
     are read whole; an empty table gives none; other columns, whatever their names, are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"), host().alias("host"))
-    told = lookup(rows, wrappers(pages), "host", ["content", "alike", "fixed", "named"], "pages", F.concat(F.lit("#"), F.xxhash64("page_id", "url").cast("string")))
+    small = F.coalesce(F.size("fixed"), F.lit(0)) + F.coalesce(F.size("named"), F.lit(0)) <= GUIDE
+    told = lookup(rows, wrappers(pages), "host", ["content", "alike", "fixed", "named"], "pages", F.concat(F.lit("#"), F.xxhash64("page_id", "url").cast("string")), fits=small)
 
     def extracted(batches):
         guides: dict[str, Guide | None] = {}
