@@ -11,7 +11,6 @@ any length costs the same number of array operations.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +26,8 @@ from spanloom.llm.common import text_of
 #: may be drawn, and how many times the sample the first draw leaves.
 LANGS, SAMPLE_DOCS, SAMPLE_CHARS, DRAWN = 200, 200, 20_000, 8
 #: Hashed features, words of the lexicon a language, words of a training sequence, sequences, passes.
-FEATURES, LEXICON, SEQUENCE, SEQUENCES, PASSES = 1 << 16, 400, 24, 6000, 3
+FEATURE_BITS, LEXICON, SEQUENCE, SEQUENCES, PASSES = 16, 400, 24, 6000, 3
+FEATURES = 1 << FEATURE_BITS
 RATE, DECAY, SEED = 0.25, 1e-6, 7
 #: Words of a block; entries of a task's word memo, each of at most PIECE letters; rows that are held as texts at once.
 BLOCK, MEMO, HELD = 64, 200_000, 256
@@ -48,14 +48,50 @@ def words_of(text: str) -> list[str]:
     return words
 
 
+def hashed(kind: int, *letters: np.ndarray) -> np.ndarray:
+    """Feature numbers of runs of letters (code points, element by element) of one kind."""
+    h = np.full(letters[0].shape, kind, np.uint64)
+    for x in letters:
+        h = (h + x) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, counts): the hashed features of words, one word after another, and how many each has.
+
+    Prefixes and suffixes to 3, all trigrams with the word's ends, all bigrams, and for words of
+    the lexicon the word and its language. Words are rows of a table of code points, so a
+    feature of all words is one array operation.
+    """
+    n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
+    if not n:
+        return np.empty(0, np.int64), sizes
+    width = max(3, int(sizes.max()))
+    table = np.zeros((n, width + 2), np.uint64)
+    rows = np.repeat(np.arange(n), sizes)
+    table[rows, np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    each = np.arange(n)
+    table[:, 0], table[each, sizes + 1] = ord("<"), ord(">")
+    at = lambda back: table[each, np.maximum(sizes - back, 0)]
+    found = [hashed(3, table[:, :-2], table[:, 1:-1], table[:, 2:]), hashed(2, table[:, 1:-2], table[:, 2:-1])]
+    found += [hashed(9 + k, *(table[:, i] for i in range(1, k + 1)))[:, None] for k in (1, 2, 3)]
+    found += [hashed(19 + k, *(at(i) for i in range(k)))[:, None] for k in (1, 2, 3)]
+    place = np.arange(width)
+    there = [place < sizes[:, None], place[:-1] < sizes[:, None] - 1, np.ones((n, 6), bool)]
+    marks = np.fromiter((lexicon.get(w, -1) for w in words), np.int64, n)
+    whole = np.zeros(n, np.uint64)
+    for k in range(1, width + 1):
+        whole = whole * np.uint64(1_000_003) + table[:, k]
+    found += [hashed(30, marks.astype(np.uint64))[:, None], hashed(31, whole)[:, None]]
+    known = np.repeat((marks >= 0)[:, None], 2, axis=1)
+    mask = np.concatenate([*there, known], axis=1)
+    return np.concatenate(found, axis=1)[mask], mask.sum(1)
+
+
 def features_of(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a word: whole, prefixes and suffixes to 3, all its bigrams and trigrams, lexicon."""
-    shown = f"<{word}>"
-    raw = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    raw += [shown[i : i + 3] for i in range(len(shown) - 2)] + [f"2{word[i : i + 2]}" for i in range(len(word) - 1)]
-    if (mark := lexicon.get(word)) is not None:
-        raw += [f"l{mark}", f"w{word}"]
-    return [zlib.crc32(f.encode()) % FEATURES for f in dict.fromkeys(raw)]
+    """The hashed features of one word."""
+    return features([word], lexicon)[0].tolist()
 
 
 @dataclass
@@ -72,12 +108,10 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores of words, len(words) x languages."""
-        found = [features_of(w, self.lexicon) for w in words]
-        if not found:
+        if not words:
             return np.zeros((0, len(self.langs)))
-        flat = np.fromiter((f for x in found for f in x), np.int64)
-        ends = np.cumsum([len(x) for x in found])
-        return np.add.reduceat(self.emit[flat], np.concatenate([[0], ends[:-1]]), axis=0)
+        flat, counts = features(words, self.lexicon)
+        return np.add.reduceat(self.emit[flat], np.cumsum(counts) - counts, axis=0)
 
 
 def sample(labelled: DataFrame) -> DataFrame:
@@ -149,7 +183,6 @@ def train(rows: list[tuple[str, str]]) -> Model:
     if len(usable) < 2:
         return model
     model.fitted = True
-    known: dict[str, np.ndarray] = {}
     sequences, labels = [], np.empty((SEQUENCES, SEQUENCE), np.int64)
     for s in range(SEQUENCES):
         words: list[str] = []
@@ -161,10 +194,11 @@ def train(rows: list[tuple[str, str]]) -> Model:
             part = doc[first : first + run]
             labels[s, len(words) : len(words) + len(part)] = at
             words += part
-        for w in words:
-            if w not in known:
-                known[w] = np.array(features_of(w, lexicon))
-        sequences.append([known[w] for w in words])
+        sequences.append(words)
+    drawn = list(dict.fromkeys(w for s in sequences for w in s))
+    flat, counts = features(drawn, lexicon)
+    known = dict(zip(drawn, np.split(flat, np.cumsum(counts)[:-1]), strict=True))
+    sequences = [[known[w] for w in s] for s in sequences]
     size = 200
     for _ in range(PASSES):
         order = rng.permutation(SEQUENCES)
@@ -200,15 +234,15 @@ class Labeller:
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Rows of the score table that hold the potentials of words."""
-        if any(w not in self.known for w in words):
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new:
             if len(self.known) + len(new) > MEMO:
                 self.known.clear()
                 new = list(dict.fromkeys(words))
             have = len(self.known)
             while len(self.table) < have + len(new):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            scores = self.model.scores(new)
+            scores = np.concatenate([self.model.scores(new[i : i + 8192]) for i in range(0, len(new), 8192)])
             self.table[have : have + len(new)] = np.exp(scores - scores.max(1, keepdims=True)).clip(1e-30)
             self.known.update(zip(new, range(have, have + len(new)), strict=True))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
