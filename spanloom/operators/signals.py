@@ -74,7 +74,7 @@ def with_neighbour(signal: DataFrame, key: str, ahead: bool) -> DataFrame:
     step = 1 if ahead else -1
     own = F.floor(F.col("sample") / BLOCK)
     other = F.floor((F.col("sample") - step) / BLOCK)
-    rows = signal.withColumn("_block", F.explode(F.array_distinct(F.array(own, other)))).withColumn("_own", F.col("_block") == own)
+    rows = signal.withColumn("_block", F.explode(F.when(own == other, F.array(own)).otherwise(F.array(own, other)))).withColumn("_own", F.col("_block") == own)
     line = Window.partitionBy(key, "_block").orderBy("sample")
     near = F.lead("v").over(line) if ahead else F.lag("v").over(line)
     return rows.withColumn("_near", near).where("_own").drop("_own", "_block")
@@ -126,8 +126,8 @@ def energy_edges(signal: DataFrame, key: str, width: int, hop: int) -> DataFrame
     """
     framed = frames(signal, key, width, hop)
     rows = framed.join(thresholds(framed, key), key).select(key, F.col("frame").alias("sample"), (F.col("rms") >= F.col("threshold")).alias("v"))
-    own = F.floor(F.col("sample") / BLOCK)
-    rows = rows.withColumn("_block", F.explode(F.array_distinct(F.array(own, F.floor((F.col("sample") - 1) / BLOCK), F.floor((F.col("sample") + 1) / BLOCK))))).withColumn("_own", F.col("_block") == own)
+    own, before, after = (F.floor((F.col("sample") + k) / BLOCK) for k in (0, -1, 1))
+    rows = rows.withColumn("_block", F.explode(F.when((before == own) & (after == own), F.array(own)).otherwise(F.array_distinct(F.array(own, before, after))))).withColumn("_own", F.col("_block") == own)
     line = Window.partitionBy(key, "_block").orderBy("sample")
     on = lambda c: F.coalesce(c, F.lit(False))
     stable, was = F.col("v") & on(F.lead("v").over(line)), F.col("v") & on(F.lag("v").over(line))
